@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole_text
-
-#: Patterns of the white space at both ends of a line.
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+from .common import SPACES, lower_ascii, whole_text, written
 
 
 def _lines(text: str) -> Column:
@@ -26,9 +23,9 @@ def _keyed(lines: Column, min_chars: int) -> Column:
 
     def one(line: Column) -> Column:
         # a line shorter than the minimum has no longer key
-        key = lower_ascii(F.regexp_replace(line, ENDS, ""))
-        hashed = F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b")))
-        return F.struct(line.alias("line"), F.when(F.length(line) >= min_chars, hashed).alias("h"))
+        key = lower_ascii(F.trim(line, F.lit(SPACES)))
+        h = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
+        return F.struct(line.alias("line"), F.when((F.length(line) >= min_chars) & (F.length(key) >= min_chars), h).alias("h"))
 
     return F.transform(lines, one)
 
@@ -42,26 +39,26 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), _keyed(_lines(text), min_chars).alias("_ls"))
-    held = (
-        rows.select("doc_id", F.explode(F.array_distinct(F.filter(F.col("_ls.h"), lambda h: h.isNotNull()))).alias("h"))
-        .groupBy("h", "doc_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("h", "doc_id")
-    )
-    frequent = (
-        held.groupBy(F.col("h").alias("_h"))
+    found = rows.select("doc_id", F.explode(F.array_distinct(F.filter(F.col("_ls.h"), lambda h: h.isNotNull()))).alias("h"))
+    found = found.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    # Rows bound documents from above, and counting them combines before the shuffle; few hashes pass.
+    often = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("a", "b"), "often")
+    held = written(found.join(often, ["a", "b"]).select("doc_id", "a", "b").distinct(), "held")
+    frequent = written(
+        held.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("_docs"), F.max("doc_id").alias("_keeper"))
         .filter(F.col("_docs") >= min_docs)
-        .select("_h", "_keeper")
+        .select("a", "b", "_keeper"),
+        "frequent",
     )
     # Unique hashes on the right; a line of a third of all documents only lengthens the left, which AQE splits.
-    lost = held.join(frequent, F.col("h") == F.col("_h")).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
-    lost = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_lost"))
+    lost = held.join(frequent, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
+    lost = written(lost.select(F.col("doc_id").alias("_doc"), F.struct("a", "b").alias("h")), "lost")
+    lost = lost.groupBy("_doc").agg(F.collect_list("h").alias("_lost"))
     joined = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).join(
         lost, F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
     )
     lines = F.when(F.col("_lost").isNull(), F.lit(None)).otherwise(_keyed(_lines("_text"), min_chars))
-    # A map of the lost hashes makes each line's test one lookup in a sorted array of at most the document's lines.
     stays = F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains(F.col("_lost"), x["h"]))
     kept = F.when(F.col("_lost").isNull(), whole_text("_text")).otherwise(F.array_join(stays["line"], "\n"))
     total = F.length(whole_text("_text")) - F.length(F.replace(whole_text("_text"), F.lit("\n"), F.lit(""))) + 1

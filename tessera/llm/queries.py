@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import mark_exact
 from .line_dedup import mark_lines
+from .packing import pack_documents
 from .quality import judge
+from .records import default_tokenizer, read_digests, write_records
 from .sharding import shard_documents
 
 
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(spark, write_records(table(spark, sf_dir, "documents"), default_tokenizer()))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), [1.0] * 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -26,14 +32,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), 2048, default_tokenizer(), keep_ids=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_token_records": op1_token_records,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
