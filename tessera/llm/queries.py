@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .quality import judge
 from .records import default_tokenizer, read_digests, write_records
 from .sharding import shard_documents
+from .simhash import hex_digits, mark_near
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_near(table(spark, sf_dir, "documents")).select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 2048, default_tokenizer(), keep_ids=False)
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
