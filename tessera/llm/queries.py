@@ -13,6 +13,7 @@ from .quality import judge
 from .records import default_tokenizer, read_digests, write_records
 from .sharding import shard_documents
 from .simhash import hex_digits, mark_near
+from .toxicity import learn, score_documents
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
