@@ -249,12 +249,13 @@ def _links(threshold: int):
 
 def probes(nodes: DataFrame, parts: list[Part]) -> DataFrame:
     """part, key, fp: every fingerprint in all buckets in which it can meet one that differs little in a part."""
-    arrays = []
-    for i, part in enumerate(parts):
-        if part.threshold >= 0:
-            value = F.col("fp").bitwiseAND(F.lit(_signed(part.mask)))
-            keys = F.transform(F.array(*(F.lit(x) for x in part.flips())), lambda x, v=value: v.bitwiseXOR(x))
-            arrays.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))))
+
+    def buckets(i: int, part: Part):
+        value = F.col("fp").bitwiseAND(F.lit(_signed(part.mask)))
+        flips = F.array(*(F.lit(x).cast("long") for x in part.flips()))
+        return F.transform(flips, lambda x: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(x).alias("key")))
+
+    arrays = [buckets(i, part) for i, part in enumerate(parts) if part.threshold >= 0]
     return nodes.select(F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("x"), "fp").select("x.part", "x.key", "fp")
 
 

@@ -68,6 +68,16 @@ def planted(n, seed=3):
     return fps
 
 
+def test_probes_are_spread(spark):
+    nodes = spark.createDataFrame([(simhash._signed(f),) for f in set(planted(300))], "fp bigint")
+    n = nodes.count()
+    four = [simhash.Part(tuple(range(k, k + 16)), 0) for k in (0, 16, 32, 48)]
+    rows = simhash.probes(nodes, four)
+    assert rows.count() == 4 * n and rows.select("part", "key").distinct().count() > 2 * n
+    one = simhash.probes(nodes, [simhash.Part(tuple(range(8)), 1), simhash.Part(tuple(range(8, 64)), -1)])
+    assert one.count() == 9 * n and one.select("key").distinct().count() > 200
+
+
 @pytest.mark.parametrize("parts", [None, [(0, 22, 1), (22, 43, 0), (43, 64, 0)], [(0, 32, 1), (32, 64, 1)], [(0, 12, 2), (12, 64, 0)]])
 def test_every_group_is_found(spark, monkeypatch, parts):
     fps = planted(300)
