@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import mark_exact
 from .line_dedup import mark_lines
 from .packing import pack_documents
+from .pii import KINDS, count_of, joined, mark_pii
 from .quality import judge
 from .records import default_tokenizer, read_digests, write_records
 from .sharding import shard_documents
@@ -20,6 +21,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_records(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mark_pii(table(spark, sf_dir, "documents"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), [1.0] * 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -53,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
