@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .pii import KINDS, count_of, joined, mark_pii
 from .quality import judge
 from .records import default_tokenizer, read_digests, write_records
+from .sentencepieces import default_model, round_trips
 from .sharding import shard_documents
 from .simhash import hex_digits, mark_near
 from .toxicity import learn, score_documents
@@ -21,6 +22,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_records(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), default_model())
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mark_pii(table(spark, sf_dir, "documents"))
     counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
@@ -60,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
