@@ -48,7 +48,7 @@ def test_memo_is_bounded(monkeypatch, plain):
     for i in range(5):
         text = " ".join(f"w{i}x{j}" for j in range(10))
         assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == plain(text)
-        assert len(enc.memo) <= 3
+        assert len(enc.memo) <= 12  # the bound and one batch
 
 
 def test_crc32c():
