@@ -1,20 +1,54 @@
-"""A corpus from raw documents to packed training sequences, in stages that each keep all that the last one kept."""
+"""A corpus from raw documents to packed training sequences, in stages that each keep all that the last one kept.
+
+Counted with ``tessera.llm``: it goes where that subpackage goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm.common import table, written
+from tessera.llm.exact_dedup import drop_exact
+from tessera.llm.packing import pack_documents
+from tessera.llm.pii import redact
+from tessera.llm.simhash import drop_near
+from tessera.llm.toxicity import drop_toxic, learn
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold; the model is learned from the labelled ones."""
+    return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, white space aside."""
+    return drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    return drop_near(docs)
 
-#: SQL cannot express the stages; tests hold them against brute force.
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its ids and its place in a sequence."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("simhash_near_dedup", near), ("pii", pii), ("best_fit_packing", packing)]
+
+#: SQL cannot express the stages; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the whole table ``documents``."""
-    from tessera.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
