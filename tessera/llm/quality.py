@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import whole_text, written
+from .common import SPACES, whole_text, written
 
-SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 #: Relative accuracy of the sketches' quantiles.
 ACCURACY = 0.02
 #: A value is out beyond the quartile by so many times the quartiles' distance, in logarithms, and by this factor at least.
@@ -28,47 +27,68 @@ FENCE, LEAST_FACTOR = 3.0, 3.0
 LEAST_GROUP = 100
 
 
-def _covered(windows: Column) -> Column:
-    """How many word positions lie in a 3-word window whose hash occurs twice or more."""
-    # (hash, position) sorted: equal hashes are neighbours
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(windows)
-    return F.when((n < 2) | (F.size(F.array_distinct(windows)) == n), F.lit(0)).otherwise(_count_covered(pairs))
+def _cleared(text: Column, characters: str) -> Column:
+    """``text`` without some ASCII characters, byte-wise."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def _count_covered(pairs: Column) -> Column:
-    n = F.size(pairs)
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(pairs, 1, n - 1))
-    after = F.concat(F.slice(pairs, 2, n - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    triples = F.arrays_zip(pairs.alias("p"), before.alias("b"), after.alias("a"))
-    repeated = F.filter(triples, lambda t: (t["p"]["h"] == F.coalesce(t["b"]["h"], F.bitwise_not(t["p"]["h"]))) | (t["p"]["h"] == F.coalesce(t["a"]["h"], F.bitwise_not(t["p"]["h"]))))
-    starts = F.array_sort(F.transform(repeated, lambda t: t["p"]["i"]))
-    # each start adds three positions less what the one before it has covered
-    prior = F.concat(F.array(F.lit(-3)), F.slice(starts, 1, F.size(starts) - 1))
-    return F.aggregate(F.zip_with(starts, prior, lambda s, q: F.least(s - q, F.lit(3))), F.lit(0), lambda acc, x: acc + x)
+def _starts(df: DataFrame) -> DataFrame:
+    """From ``_g``, the hashes of a text's windows in order, ``_s``: the sorted positions of those that occur again.
+
+    Hashes and positions are packed into one long each (43 and 21 bits) and
+    sorted, so that equal hashes are neighbours. Texts in which two hashes
+    share their 43 bits, or with over 2^21 windows, take whole structs.
+    """
+    high, low = F.lit(-(1 << 21)), F.lit((1 << 21) - 1)
+    n, kinds = F.size("_g"), F.size(F.array_distinct("_g"))
+    df = df.withColumn("_again", n > kinds)
+    df = df.withColumn("_p", F.when(F.col("_again"), F.sort_array(F.transform("_g", lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))))
+    df = df.withColumn("_packs", (n <= 1 << 21) & (F.size(F.array_distinct(F.transform("_p", lambda x: x.bitwiseAND(high)))) == kinds))
+    near = F.filter(
+        F.sequence(F.lit(0), F.size("_p") - 2),
+        lambda k: F.get("_p", k).bitwiseXOR(F.get("_p", k + 1)).between(F.lit(0), low),
+    )
+    packed = F.flatten(F.transform(near, lambda k: F.array(F.get("_p", k).bitwiseAND(low), F.get("_p", k + 1).bitwiseAND(low))))
+    pairs = F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    df = df.withColumn("_q", F.when(F.col("_again") & ~F.col("_packs"), pairs))
+    plain = F.flatten(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.size("_q") - 2), lambda k: F.get("_q", k)["h"] == F.get("_q", k + 1)["h"]),
+            lambda k: F.array(F.get("_q", k)["i"], F.get("_q", k + 1)["i"]),
+        )
+    )
+    found = F.when(~F.col("_again"), F.array().cast("array<bigint>")).when(F.col("_packs"), packed).otherwise(plain)
+    return df.withColumn("_s", F.sort_array(F.array_distinct(found)))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (null text: none)."""
-    body = whole_text(text)
-    out = docs.withColumn("_w", F.filter(F.split(body, SPLIT, -1), lambda w: w != ""))
-    out = out.withColumn(
-        "_g",
-        F.when(
-            F.size("_w") >= 3,
-            F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    out = out.withColumn("_ls", F.filter(F.split(body, "\n", -1), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (null text: none).
+
+    ``docs`` must have no columns whose names begin with an underscore but ``text``.
+    """
+    out = docs.withColumn("_body", whole_text(text))
+    spaced = F.col("_body")
+    for c in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    out = out.withColumn("_w", F.array_remove(F.split(spaced, " ", -1), ""))
+    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
+    out = out.withColumn("_g", F.when(F.size("_w") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    out = _starts(out)
+    # each start adds three words less what the start before it has covered
+    prior = F.concat(F.array(F.lit(-3).cast("long")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
+    covered = F.aggregate(F.zip_with("_s", prior, lambda s, q: F.least(s - q, F.lit(3))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    out = out.withColumn("_ls", F.filter(F.split("_body", "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
     return out.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.aggregate("_w", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(_cleared(F.col("_body"), SPACES)).cast("long"),
+            "n_symbols": (F.octet_length("_body") - F.octet_length(_cleared(F.col("_body"), SYMBOLS))).cast("long"),
             "n_dup_lines": (F.size("_ls") - F.size(F.array_distinct("_ls"))).cast("long"),
-            "n_repeat_words": _covered(F.col("_g")).cast("long"),
+            "n_repeat_words": F.when(F.size("_s") > 0, covered).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop("_w", "_g", "_ls")
+    ).drop("_w", "_g", "_ls", "_body", "_s", "_p", "_q", "_again", "_packs")
 
 
 def base_failed() -> Column:
@@ -91,7 +111,7 @@ def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
         F.struct(F.lit(rule).alias("rule"), F.floor(F.ln(value()) / width).cast("int").alias("bucket"))
         for rule, (value, _, _) in RULES.items()
     ]
-    passing = measured.filter(~base_failed())
+    passing = measured.filter(~base_failed())  # so there are words to divide by
     return (
         passing.select(*groups, F.explode(F.array(*buckets)).alias("x"))
         .groupBy(*groups, F.col("x.rule").alias("rule"), F.col("x.bucket").alias("bucket"))
