@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import small_batches, whole_text, written
 from .fuzzy import Lexicon
 
 #: Labelled rows that the model is fitted on, about; with more, a hash of doc_id chooses.
@@ -143,9 +143,9 @@ def _lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to PRIOR; classes weigh alike."""
+    """Logistic regression by Newton steps, drawn to PRIOR; rows weigh alike."""
     w = PRIOR.copy()
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * min(len(y), 2000)
+    each = np.full(len(y), min(1.0, 2000 / len(y)))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (each * (p - y)) + 0.3 * (w - PRIOR)
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     document the same low score. Null labels are no labels; if a doc_id has
     several, one toxic label decides.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     n = known.count()
     if n > max_rows:
@@ -202,6 +203,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             scores = [model.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), whole_text(text).alias("text"))
     scored = rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -209,6 +211,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
