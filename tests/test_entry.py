@@ -1,5 +1,45 @@
+"""The driver's contract, with and without the training-data subpackage."""
+
+import importlib
+import sys
+
+import pytest
+
 import __spark_entry__ as entry
 
 
 def test_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_flagship(spark):
+    out = entry.entry(spark)
+    assert out.columns == ["bin", "n"] and out.count() > 0
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "tessera.llm"])
+def test_works_without_the_subpackage(monkeypatch, gone):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tessera.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, gone, None)
+    again = importlib.reload(entry)
+    try:
+        assert "hist_128" in again.queries() and "pipeline" not in again.queries()
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
+def test_other_missing_modules_are_errors(monkeypatch):
+    real = __import__
+
+    def failing(name, *args, **kwargs):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("no such thing", name="xxhash")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr("builtins.__import__", failing)
+    with pytest.raises(ModuleNotFoundError):
+        importlib.reload(entry)
+    monkeypatch.undo()
+    importlib.reload(entry)
