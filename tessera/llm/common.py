@@ -44,6 +44,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2000 rows for this session, unless it has limits of its own.
+
+    Texts of a batch are Python objects while a worker handles them, so this bounds a worker's memory.
+    """
+    for name, usual, ours in (("maxBytesPerBatch", "67108864b", "8m"), ("maxRecordsPerBatch", "10000", "2000")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,7 +71,9 @@ def without_spaces(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, nothing else: the fast function where a string is all ASCII, a slower one where not."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(slow)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -39,8 +39,9 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), _keyed(_lines(text), min_chars).alias("_ls"))
+    # Small beside the texts: 24 bytes for each line that is long enough, so the texts are read twice, not three times.
     found = rows.select("doc_id", F.explode(F.array_distinct(F.filter(F.col("_ls.h"), lambda h: h.isNotNull()))).alias("h"))
-    found = found.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    found = written(found.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")), "lines")
     # Rows bound documents from above, and counting them combines before the shuffle; few hashes pass.
     often = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("a", "b"), "often")
     held = written(found.join(often, ["a", "b"]).select("doc_id", "a", "b").distinct(), "held")
@@ -55,12 +56,14 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     lost = held.join(frequent, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
     lost = written(lost.select(F.col("doc_id").alias("_doc"), F.struct("a", "b").alias("h")), "lost")
     lost = lost.groupBy("_doc").agg(F.collect_list("h").alias("_lost"))
-    joined = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
+    # The same plan at every size: what is lost grows with the input, so it is never broadcast.
+    joined = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("_text")).join(
+        lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
     )
-    lines = F.when(F.col("_lost").isNull(), F.lit(None)).otherwise(_keyed(_lines("_text"), min_chars))
-    stays = F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains(F.col("_lost"), x["h"]))
-    kept = F.when(F.col("_lost").isNull(), whole_text("_text")).otherwise(F.array_join(stays["line"], "\n"))
-    total = F.length(whole_text("_text")) - F.length(F.replace(whole_text("_text"), F.lit("\n"), F.lit(""))) + 1
-    dropped = F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stays))
+    joined = joined.withColumn("_lines", F.when(F.col("_lost").isNotNull(), _keyed(F.split("_text", "\n", -1), min_chars)))
+    stays = F.filter("_lines", lambda x: x["h"].isNull() | ~F.array_contains(F.col("_lost"), x["h"]))
+    joined = joined.withColumn("_stays", F.when(F.col("_lost").isNotNull(), stays["line"]))
+    total = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    dropped = F.when(F.col("_lost").isNotNull(), F.size("_lines") - F.size("_stays")).otherwise(F.lit(0))
+    kept = F.when(F.col("_lost").isNotNull(), F.array_join("_stays", "\n")).otherwise(F.col("_text"))
     return joined.select("doc_id", total.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
