@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .exact_dedup import mark_exact
 from .line_dedup import mark_lines
@@ -76,4 +77,8 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": oracles.LINE_DEDUP,
+    "op7_exact_dedup": oracles.EXACT_DEDUP,
+    "op10_quality_rules": oracles.QUALITY,
+}
