@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions, whole_text
+from .common import scratch_path, shuffle_partitions, small_batches, whole_text
 from .crc32c import crc32c, masked
 from .tokens import encoder
 
@@ -180,6 +180,7 @@ def write_records(
     this list, a row for each file, comes to the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch_path(spark, "records")
     n = files or shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text"))
@@ -210,11 +211,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def read_digests(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every record, read back from the files; a task reads whole files."""
+    """doc_id, start, n_tokens and ids_crc32 of every record, read back from the files; a task reads some whole files."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not manifest:
         return spark.createDataFrame([], schema)
-    files = spark.sparkContext.parallelize([(m["file"], m["start"]) for m in manifest], len(manifest))
+    tasks = min(len(manifest), 4 * spark.sparkContext.defaultParallelism)
+    files = spark.sparkContext.parallelize([(m["file"], m["start"]) for m in manifest], tasks)
     return spark.createDataFrame(files, "file string, start bigint").mapInArrow(_digest, schema)
 
 

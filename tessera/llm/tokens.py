@@ -14,9 +14,19 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 _CUT = re.compile(r" (?=\S)").split
+_NOT_ALL_SPACES_CUT = re.compile(r" (?!\S)").search
+
+
+def cuts_of(text: str) -> list[str]:
+    """The text parted at spaces that a non-space character follows, without those spaces."""
+    return _CUT(text) if _NOT_ALL_SPACES_CUT(text) else text.split(" ")
 #: Entries that a worker's memo may hold, and the longest cut that it keeps. About 150 bytes each.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+#: Cuts that the library gets in one text.
+JOINED_CUTS = 2048
 
 
 class Encoder:
@@ -37,6 +47,11 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and not spec.get("normalizer")
         )
+        self.cuts = bool(self.cuts)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)  # byte-level tokens spell a byte as a character
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.memo: dict[str, bytes] = {}
@@ -45,24 +60,46 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in done]
 
+    def _cut_ids(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each cut with its space in front."""
+        return self._joined([" " + x for x in cuts])
+
+    def _joined(self, led: list[str]) -> list[bytes]:
+        """Ids of texts that begin with a cut; the library gets many at once, which the ids' byte lengths part again."""
+        out: list[bytes] = []
+        for a in range(0, len(led), JOINED_CUTS):
+            some = led[a : a + JOINED_CUTS]
+            ids = np.frombuffer(self._library(["".join(some)])[0], f"<u{self.width}")
+            ends = np.cumsum([len(x.encode()) for x in some])
+            upto = np.cumsum(self.token_bytes[ids])
+            parts = np.searchsorted(upto, ends)
+            if parts[-1] >= len(upto) or (upto[parts] != ends).any():
+                out += self._library(some)  # a token crosses cuts: this tokenizer is not of the kind, or changes bytes
+                continue
+            data, at = ids.tobytes(), [0, *((parts + 1) * self.width).tolist()]
+            out += [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self._library(texts)
-        split = [_CUT(t) for t in texts]
+        split = [cuts_of(t) for t in texts]
         heads = self._library([p[0] for p in split])
-        memo, new = self.memo, set()
-        for p in split:
-            new.update(p[1:])
-        new.difference_update(memo)
-        fresh = list(new)
-        memo.update(zip(fresh, self._library([" " + x for x in fresh]), strict=True))
-        out = [h + b"".join(map(memo.__getitem__, p[1:])) if len(p) > 1 else h for h, p in zip(heads, split, strict=True)]
-        # early entries tend to be the frequent ones: beyond the bound, what is newest goes
-        over = len(memo) > MEMO_ENTRIES
-        for x in fresh:
-            if over or len(x) > MEMO_CHARS:
-                del memo[x]
-        return out
+        memo = self.memo
+        found = [list(map(memo.get, p[1:])) for p in split]
+        fresh: dict[str, bytes] = {}
+        for p, ids in zip(split, found, strict=True):
+            if None in ids:
+                fresh.update((x, b"") for x, y in zip(p[1:], ids, strict=True) if y is None)
+        if fresh:
+            fresh = dict(zip(fresh, self._cut_ids(list(fresh)), strict=True))
+            for p, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids[:] = [fresh[x] if y is None else y for x, y in zip(p[1:], ids, strict=True)]
+            # early entries tend to be the frequent ones: beyond the bound, no more come in
+            if len(memo) < MEMO_ENTRIES:
+                memo.update((x, y) for x, y in fresh.items() if len(x) <= MEMO_CHARS)
+        return [h + b"".join(ids) for h, ids in zip(heads, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
