@@ -96,6 +96,7 @@ def mark_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     again = marked.filter("_again")
     rank = F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_rid").alias("r"))
     groups = again.groupBy(F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("_best"))
+    groups = written(groups, "groups")  # a shuffle of its own, without which AQE can't split the join
     # One row for each hash on the right; a hot group only lengthens the left, which AQE splits.
     more = again.join(groups, F.col("text_sha256") == F.col("_sha")).select(
         "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_rid")).alias("kept"), "text_sha256"
