@@ -18,15 +18,15 @@ import numpy as np
 
 _CUT = re.compile(r" (?=\S)").split
 _NOT_ALL_SPACES_CUT = re.compile(r" (?!\S)").search
+#: Entries that a worker's memo may hold, and the longest cut that it keeps. About 150 bytes each.
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+#: Cuts that the library gets in one text.
+JOINED_CUTS = 2048
 
 
 def cuts_of(text: str) -> list[str]:
     """The text parted at spaces that a non-space character follows, without those spaces."""
     return _CUT(text) if _NOT_ALL_SPACES_CUT(text) else text.split(" ")
-#: Entries that a worker's memo may hold, and the longest cut that it keeps. About 150 bytes each.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
-#: Cuts that the library gets in one text.
-JOINED_CUTS = 2048
 
 
 class Encoder:
@@ -40,14 +40,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.cuts = (
+        self.cuts = bool(
             spec["model"]["type"] == "BPE"
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
             and not spec.get("normalizer")
         )
-        self.cuts = bool(self.cuts)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
