@@ -35,13 +35,15 @@ class Clustering:
     rounds: int
 
 
-def _literals(medoids: Sequence[Sequence[float]]) -> list[list[Column]]:
-    return [[F.lit(float(x)) for x in m] for m in medoids]
+def _literals(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[float]]) -> list[list[Column]]:
+    """Medoids in their columns' own types: float columns are compared in single precision."""
+    kinds = [points.schema[c].dataType for c in coords]
+    return [[F.lit(float(x)).cast(k) for x, k in zip(m, kinds, strict=True)] for m in medoids]
 
 
-def _distances(coords: Sequence[str], medoids: Sequence[Sequence[float]], metric: str) -> list[Column]:
+def _distances(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[float]], metric: str) -> list[Column]:
     own = [F.col(c) for c in coords]
-    return [distance(own, m, metric) for m in _literals(medoids)]
+    return [distance(own, m, metric) for m in _literals(points, coords, medoids)]
 
 
 def distance_matrix(points: DataFrame, coords: Sequence[str], id_: str = "id", metric: str = "l2") -> DataFrame:
@@ -54,7 +56,7 @@ def distance_matrix(points: DataFrame, coords: Sequence[str], id_: str = "id", m
 
 def assign(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[float]], metric: str = "l2") -> DataFrame:
     """``points`` with slot and d of the nearest medoid; the first of equals."""
-    pairs = [F.struct(d.alias("d"), F.lit(k).alias("slot")) for k, d in enumerate(_distances(coords, medoids, metric))]
+    pairs = [F.struct(d.alias("d"), F.lit(k).alias("slot")) for k, d in enumerate(_distances(points, coords, medoids, metric))]
     best = F.least(*pairs) if len(pairs) > 1 else pairs[0]
     return points.withColumn("_best", best).withColumns({"slot": F.col("_best.slot"), "d": F.col("_best.d")}).drop("_best")
 
@@ -66,7 +68,7 @@ def total_cost(points: DataFrame, coords: Sequence[str], medoids: Sequence[Seque
 
 def _near(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[float]], metric: str) -> DataFrame:
     """Points with d1 and j1, the nearest distance and slot, and d2, the second nearest distance."""
-    pairs = F.array(*(F.struct(d.alias("d"), F.lit(k).alias("slot")) for k, d in enumerate(_distances(coords, medoids, metric))))
+    pairs = F.array(*(F.struct(d.alias("d"), F.lit(k).alias("slot")) for k, d in enumerate(_distances(points, coords, medoids, metric))))
     ranked = points.withColumn("_r", F.array_sort(pairs))
     second = F.coalesce(F.get("_r", F.lit(1))["d"], F.lit(float("inf")))
     return ranked.withColumns({"d1": F.get("_r", F.lit(0))["d"], "j1": F.get("_r", F.lit(0))["slot"], "d2": second}).drop("_r")
@@ -74,12 +76,21 @@ def _near(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[f
 
 def swap_costs(
     points: DataFrame, coords: Sequence[str], medoid_ids: Sequence[int], medoids: Sequence[Sequence[float]],
-    id_: str = "id", metric: str = "l2", n: int | None = None,
+    id_: str = "id", metric: str = "l2", n: int | None = None, same_within: float | None = None,
 ) -> DataFrame:
-    """point, slot, cost for every point that is no medoid and every slot that it might take."""
+    """point, slot, cost for every point that is no medoid and every slot that it might take.
+
+    A point is a medoid by its id or, with ``same_within``, if it differs from one by less than that in every coordinate.
+    """
     k = len(medoids)
     near = _near(points, coords, medoids, metric).select(*coords, "d1", "j1", "d2")
     candidates = points.filter(~F.col(id_).isin([int(m) for m in medoid_ids]))
+    if same_within is not None:
+        for m in _literals(points, coords, medoids):
+            alike = F.lit(True)
+            for c, x in zip(coords, m, strict=True):
+                alike = alike & (F.abs(F.col(c) - x) < same_within)
+            candidates = candidates.filter(~alike)
     candidates = candidates.select(F.col(id_).alias("point"), *(F.col(c).alias(f"c_{c}") for c in coords))
     if (points.count() if n is None else n) <= BROADCAST_POINTS:
         candidates = F.broadcast(candidates)
@@ -99,7 +110,7 @@ def best_swap(costs: DataFrame) -> DataFrame:
 
 def k_medoids(
     points: DataFrame, coords: Sequence[str], k: int, id_: str = "id", metric: str = "l2", tol: float | None = None,
-    max_iter: int = 1000, initial_cost: str = "max",
+    max_iter: int = 1000, initial_cost: str = "max", same_within: float | None = None,
 ) -> Clustering:
     """PAM from the first k points by id.
 
@@ -107,7 +118,8 @@ def k_medoids(
     what there is. With ``initial_cost="max"`` the first swap is always
     applied; with "computed" it must improve on the first points' cost.
     ``tol`` also stops when the new cost is above that share of the old one,
-    without applying the swap.
+    without applying the swap. ``same_within`` rules out candidates that equal
+    a medoid by value. Float columns give single-precision distances.
     """
     if initial_cost not in ("max", "computed"):
         raise ValueError("initial_cost is max or computed")
@@ -125,8 +137,10 @@ def k_medoids(
         if k == n:
             return Clustering(tuple(medoids), cost, 1)
         for rounds in range(1, max_iter + 1):
-            costs = swap_costs(points, coords, medoids, [at[m] for m in medoids], id_, metric, n)
+            costs = swap_costs(points, coords, medoids, [at[m] for m in medoids], id_, metric, n, same_within)
             best = best_swap(costs).first()
+            if best.cost is None:  # no candidates
+                return Clustering(tuple(medoids), cost, rounds)
             if cost is not None and (best.cost >= cost or (tol is not None and best.cost / cost > tol)):
                 return Clustering(tuple(medoids), cost, rounds)
             cost = best.cost

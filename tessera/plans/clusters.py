@@ -65,10 +65,10 @@ def best_swap(spark, d):
     return best.select(F.round("cost", 4).alias("cost"), "slot", "point")
 
 
-def _pam_sql(metric, stop):
+def _pam_sql(metric, stop, first="'infinity'::DOUBLE"):
     dist = (_D if metric == "l2" else _D2).format
     return f"""WITH RECURSIVE {_PTS}, st AS (
-        SELECT 0 AS it, 0::BIGINT AS m0, 1::BIGINT AS m1, 2::BIGINT AS m2, 'infinity'::DOUBLE AS cost, false AS done
+        SELECT 0 AS it, 0::BIGINT AS m0, 1::BIGINT AS m1, 2::BIGINT AS m2, {first} AS cost, false AS done
         UNION ALL
         SELECT it + 1, CASE WHEN {stop} OR b.slot <> 0 THEN m0 ELSE b.point END, CASE WHEN {stop} OR b.slot <> 1 THEN m1 ELSE b.point END,
                CASE WHEN {stop} OR b.slot <> 2 THEN m2 ELSE b.point END, CASE WHEN {stop} THEN cost ELSE b.cost END, {stop}
@@ -89,11 +89,14 @@ def _pam_sql(metric, stop):
         FROM (SELECT *, unnest([0, 1, 2])::INTEGER AS slot, unnest([m0, m1, m2]) AS id FROM st WHERE done) JOIN pts USING (id)"""
 
 
-def _register_pam(name, metric, stop, tol=None):
-    @query(_pam_sql(metric, stop), name)
+def _register_pam(name, metric, stop, tol=None, computed=False):
+    first = f"(SELECT sum(b.d) FROM ({_NEAREST}))" if computed else "'infinity'::DOUBLE"
+
+    @query(_pam_sql(metric, stop, first), name)
     def pam(spark, d):
         points = _points(spark, d)
-        found = cluster.k_medoids(points, XY, 3, metric=metric, tol=tol)
+        more = {"initial_cost": "computed", "same_within": 2.220446049250313e-16} if computed else {}
+        found = cluster.k_medoids(points, XY, 3, metric=metric, tol=tol, **more)
         rows = cluster.medoid_rows(points, XY, found)
         return rows.select("slot", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.lit(round(found.cost, 4)).alias("cost"), F.lit(found.rounds).alias("rounds"))
 
@@ -101,3 +104,4 @@ def _register_pam(name, metric, stop, tol=None):
 _register_pam("pam_l2", "l2", "(b.cost >= cost)")
 _register_pam("pam_sq", "sqeuclidean", "(b.cost >= cost)")
 _register_pam("pam_early", "l2", "(b.cost >= cost OR b.cost / cost > 0.95)", tol=0.95)
+_register_pam("pam_strict", "l2", "(b.cost >= cost)", computed=True)

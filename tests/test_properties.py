@@ -125,6 +125,15 @@ def test_pam_edges(spark):
     for k in (0, 4):
         with pytest.raises(ValueError):
             cluster.k_medoids(df, ["x"], k)
+    twice = spark.createDataFrame([(0, 0.0), (1, 0.0), (2, 5.0), (3, 6.0)], "id bigint, x double")
+    ids = {r.point for r in cluster.swap_costs(twice, ["x"], [0], [[0.0]], same_within=1e-12).collect()}
+    assert ids == {2, 3}
+    alike = spark.createDataFrame([(i, 1.0) for i in range(4)], "id bigint, x double")
+    assert cluster.k_medoids(alike, ["x"], 2, initial_cost="computed", same_within=1e-12) == cluster.Clustering((0, 1), 0.0, 1)
+    single = twice.select("id", F.col("x").cast("float").alias("x"))
+    assert cluster.distance_matrix(single, ["x"], metric="sqeuclidean").schema["d"].dataType.typeName() == "float"
+    assert cluster.assign(single, ["x"], [[0.1]], "sqeuclidean").schema["d"].dataType.typeName() == "float"
+    assert cluster.k_medoids(single, ["x"], 2, metric="sqeuclidean").cost == 1.0
     same = spark.createDataFrame([(i, 1.0) for i in range(4)], "id bigint, x double")
     assert cluster.k_medoids(same, ["x"], 2).cost == 0
     assert cluster.assign(same, ["x"], [[1.0], [1.0]]).select("slot").distinct().first().slot == 0
