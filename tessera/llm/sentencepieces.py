@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 SPACE = "▁"
 #: What an unknown character costs below the worst piece's score (the library's penalty).
@@ -214,6 +214,7 @@ def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text
                 ids = sp.encode(texts[a : a + 256])
                 yield pa.RecordBatch.from_arrays([keys.slice(a, len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -246,5 +247,6 @@ def round_trips(docs: DataFrame, model_file: str, key: str = "doc_id", text: str
                     names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean")

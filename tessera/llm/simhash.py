@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, whole_text, written
+from .common import shuffle_partitions, small_batches, whole_text, written
 from .components import components
 
 BITS = 64
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             fps = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
