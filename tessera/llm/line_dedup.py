@@ -1,9 +1,9 @@
 """Line deduplication across documents.
 
-Lines explode with their normalised key's 128-bit hash; a hash found in
-enough distinct documents is frequent and stays only in the largest doc_id
-holding it. Each document learns the hashes that it loses and is put together
-again from its lines in order of position.
+Lines explode with their normalised key's 128-bit hash and their position; a
+hash found in enough distinct documents is frequent and stays only in the
+largest doc_id holding it. Each document learns the positions that it loses
+and is put together again from the stretches between them.
 """
 
 from __future__ import annotations
@@ -14,20 +14,16 @@ from pyspark.sql import functions as F
 from .common import SPACES, lower_ascii, whole_text, written
 
 
-def _lines(text: str) -> Column:
-    return F.split(whole_text(text), "\n", -1)
-
-
 def _keyed(lines: Column, min_chars: int) -> Column:
-    """Lines in order as structs of the text and the key's hash; the hash is null for keys that are too short."""
+    """Positions from 0 and hashes of the lines whose keys are long enough."""
 
-    def one(line: Column) -> Column:
+    def one(line: Column, at: Column) -> Column:
         # a line shorter than the minimum has no longer key
         key = lower_ascii(F.trim(line, F.lit(SPACES)))
-        h = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
-        return F.struct(line.alias("line"), F.when((F.length(line) >= min_chars) & (F.length(key) >= min_chars), h).alias("h"))
+        h = F.struct(at.alias("at"), F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
+        return F.when((F.length(line) >= min_chars) & (F.length(key) >= min_chars), h)
 
-    return F.transform(lines, one)
+    return F.array_compact(F.transform(lines, one))
 
 
 def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -38,15 +34,18 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     same lines; a null doc_id is the smallest. An empty table gives no rows;
     other columns are ignored.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), _keyed(_lines(text), min_chars).alias("_ls"))
-    # Small beside the texts: 24 bytes for each line that is long enough, so the texts are read twice, not three times.
-    found = rows.select("doc_id", F.explode(F.array_distinct(F.filter(F.col("_ls.h"), lambda h: h.isNotNull()))).alias("h"))
-    found = written(found.select("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")), "lines")
+    # A row is told by its doc_id and its text's hash, so that repeated doc_ids keep their own positions.
+    rows = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    found = rows.select("doc_id", "_row", F.explode(_keyed(F.split("_text", "\n", -1), min_chars)).alias("h"))
+    # Small beside the texts: some 30 bytes for each line that is long enough, so the texts are read twice, not three times.
+    found = written(found.select("doc_id", "_row", "h.at", "h.a", "h.b"), "lines")
     # Rows bound documents from above, and counting them combines before the shuffle; few hashes pass.
     often = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("a", "b"), "often")
-    held = written(found.join(often, ["a", "b"]).select("doc_id", "a", "b").distinct(), "held")
+    held = written(found.join(often, ["a", "b"]), "held")
     frequent = written(
-        held.groupBy("a", "b")
+        held.select("a", "b", "doc_id")
+        .distinct()
+        .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("_docs"), F.max("doc_id").alias("_keeper"))
         .filter(F.col("_docs") >= min_docs)
         .select("a", "b", "_keeper"),
@@ -54,16 +53,21 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     )
     # Unique hashes on the right; a line of a third of all documents only lengthens the left, which AQE splits.
     lost = held.join(frequent, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
-    lost = written(lost.select(F.col("doc_id").alias("_doc"), F.struct("a", "b").alias("h")), "lost")
-    lost = lost.groupBy("_doc").agg(F.collect_list("h").alias("_lost"))
+    lost = written(lost.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), "at"), "lost")
+    lost = lost.groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("at")).alias("_lost"))
     # The same plan at every size: what is lost grows with the input, so it is never broadcast.
-    joined = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("_text")).join(
-        lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
-    )
-    joined = joined.withColumn("_lines", F.when(F.col("_lost").isNotNull(), _keyed(F.split("_text", "\n", -1), min_chars)))
-    stays = F.filter("_lines", lambda x: x["h"].isNull() | ~F.array_contains(F.col("_lost"), x["h"]))
-    joined = joined.withColumn("_stays", F.when(F.col("_lost").isNotNull(), stays["line"]))
+    joined = rows.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
+    joined = joined.withColumn("_lines", F.when(F.col("_lost").isNotNull(), F.split("_text", "\n", -1)))
+    # Reassembly by position: what lies between the lost positions, stretch by stretch.
+    n = F.size("_lost")
+
+    def stretch(k: Column) -> Column:
+        after = F.when(k == 0, F.lit(-1)).otherwise(F.get("_lost", k - 1))
+        upto = F.when(k == n, F.size("_lines")).otherwise(F.get("_lost", k))
+        return F.slice("_lines", after + 2, upto - after - 1)
+
+    stays = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)), "\n")
     total = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
-    dropped = F.when(F.col("_lost").isNotNull(), F.size("_lines") - F.size("_stays")).otherwise(F.lit(0))
-    kept = F.when(F.col("_lost").isNotNull(), F.array_join("_stays", "\n")).otherwise(F.col("_text"))
+    dropped = F.when(F.col("_lost").isNotNull(), n).otherwise(F.lit(0))
+    kept = F.when(F.col("_lost").isNotNull(), stays).otherwise(F.col("_text"))
     return joined.select("doc_id", total.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
