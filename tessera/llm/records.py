@@ -120,6 +120,15 @@ def read_file(path: str, order: np.ndarray | None = None) -> Iterator[tuple[int
             i = j
 
 
+def _replace(system, source: str, target: str) -> None:
+    """Moves a whole file over another; some file systems refuse to move onto what an earlier attempt has left."""
+    try:
+        system.move(source, target)
+    except OSError:
+        system.delete_file(target)
+        system.move(source, target)
+
+
 def _writer(folder: str, tokenizer_path: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,8 +166,8 @@ def _writer(folder: str, tokenizer_path: str, end_id: int | None):
         final = posixpath.join(posixpath.dirname(at), name)
         with system.open_output_stream(at + ".idx") as f:
             f.write(index_bytes(np.cumsum(sizes) - sizes, np.cumsum(n) - n))
-        system.move(at, final + ".rec")
-        system.move(at + ".idx", final + ".idx")
+        _replace(system, at, final + ".rec")
+        _replace(system, at + ".idx", final + ".idx")
         yield pa.RecordBatch.from_arrays(
             [pa.array([f"{folder}/{name}.rec"]), pa.array([first], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())],
             names=["file", "first_key", "records", "ids"],
