@@ -126,7 +126,7 @@ def bootstrap(table: DataFrame) -> DataFrame:
         scored = counted.withColumn("b", best).select(
             "context", F.col("b.kind").alias("by"), F.col("b.f").alias("f"), (F.col("b.f") / F.col("n")).alias("confidence")
         )
-        # RlogF ranks patterns; both of its factors are held to a bound
+        # RlogF weighs a pattern's confidence by how much it extracts; both of its factors are held to a bound
         patterns = written(
             scored.filter((F.col("f") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
             .select("context", "by", "confidence", (F.col("confidence") * F.log2("f")).alias("rlogf")),
@@ -134,8 +134,9 @@ def bootstrap(table: DataFrame) -> DataFrame:
         )
         drawn = known.filter("kind is null").join(patterns, "context")
         miss = F.exp(F.sum(F.ln(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        new = drawn.groupBy("h", "by").agg((1 - miss).alias("score")).filter(F.col("score") >= LEAST_SCORE)
-        new = new.groupBy("h").agg(F.max_by("by", F.struct("score", "by")).alias("kind"))
+        new = drawn.groupBy("h", "by").agg((1 - miss).alias("score"), F.sum("rlogf").alias("rlogf")).filter(F.col("score") >= LEAST_SCORE)
+        # of several kinds, the one whose patterns are the strongest
+        new = new.groupBy("h").agg(F.max_by("by", F.struct("rlogf", "score", "by")).alias("kind"))
         before = accepted.count()
         accepted = written(accepted.unionByName(new), "accepted")
         if accepted.count() == before:
