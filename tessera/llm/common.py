@@ -37,10 +37,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again.
 
     Lost executors cost a re-read of files, never a second run of what came before.
+    The files go when the driver ends in order.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
