@@ -25,7 +25,9 @@ SPACE = "▁"
 #: What an unknown character costs below the worst piece's score (the library's penalty).
 UNKNOWN_PENALTY = 10.0
 #: Distinct words that a worker keeps, the longest of them, and cells (words x length x piece lengths) of a batch.
-MEMO_ENTRIES, MEMO_CHARS, BATCH_CELLS = 300_000, 32, 1 << 20
+MEMO_ENTRIES, MEMO_CHARS, BATCH_CELLS = 300_000, 32, 1 << 18
+#: Texts whose words are searched together.
+BATCH_TEXTS = 1024
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,35 +92,48 @@ class Pieces:
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids (u32, little-endian) of words of one length, which advance together."""
         n, count = len(words[0]), len(words)
-        hashes = self._prefixes(words, n)
-        best = np.full((count, n + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((count, n + 1), np.int32), np.full((count, n + 1), -1, np.int32)
-        lengths = sorted(self.by_length, reverse=True)
+        hashes = np.ascontiguousarray(self._prefixes(words, n).T)
+        lengths = [k for k in sorted({1, *self.by_length}, reverse=True) if k <= n]
+        # by length and start: the piece there, if there is one, and its score
+        found = {}
+        for k in lengths:
+            if k in self.by_length:
+                found[k] = self._probe(hashes[k:] - hashes[: n - k + 1] * self.power[k], k)
+            else:
+                found[k] = np.full((n, count), -1), np.full((n, count), -np.inf)
+            if k == 1:
+                found[k] = found[k][0], np.where(found[k][0] < 0, self.unknown_score, found[k][1])
+        best = np.zeros((n + 1, count))
+        back, piece = np.zeros((n + 1, count), np.int64), np.full((n + 1, count), -2, np.int64)
+        every = np.arange(count)
         for end in range(1, n + 1):
-            for k in lengths:
-                if k <= end:
-                    ids, scores = self._probe(hashes[:, end] - hashes[:, end - k] * self.power[k], k)
-                    if k == 1:
-                        scores = np.where(ids < 0, self.unknown_score, scores)
-                    total = best[:, end - k] + scores
-                    better = total > best[:, end]  # longer pieces come first and keep ties
-                    best[better, end], back[better, end], piece[better, end] = total[better], k, ids[better]
-            if 1 not in self.by_length:
-                total = best[:, end - 1] + self.unknown_score
-                better = total > best[:, end]
-                best[better, end], back[better, end], piece[better, end] = total[better], 1, -1
-        return [self._path(w, back[i], piece[i]) for i, w in enumerate(words)]
-
-    def _path(self, word: str, back, piece) -> bytes:
-        out, end = [], len(word)
-        while end:
-            k, i = int(back[end]), int(piece[end])
-            if i >= 0 and self.pieces[i] != word[end - k : end]:
-                return self.plain(word)  # a hash that only looks like a piece's
-            out.append((i, word[end - k : end]))
-            end -= k
-        return self._ids(out[::-1])
+            ks = [k for k in lengths if k <= end]  # longest first: the first maximum keeps ties
+            totals = np.stack([best[end - k] + found[k][1][end - k] for k in ks])
+            top = totals.argmax(0)
+            best[end], back[end] = totals[top, every], np.array(ks)[top]
+            piece[end] = np.stack([found[k][0][end - k] for k in ks])[top, every]
+        end, steps = np.full(count, n), []
+        while end.any():
+            steps.append(piece[end, every])  # -2 where a word's path is complete
+            end = end - back[end, every]
+        paths = np.stack(steps[::-1], 1)
+        lens = (paths > -2).sum(1)
+        flat = paths[paths > -2]
+        if (flat >= 0).all() and self._shown_bytes(flat) == "".join(words).encode("utf-8", "surrogatepass"):
+            data, ends = flat.astype("<u4").tobytes(), [0, *(4 * np.cumsum(lens)).tolist()]
+            return [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+        return [self._checked(w, row[row > -2].tolist()) for w, row in zip(words, paths, strict=True)]
+
+    def _checked(self, word: str, path: list[int]) -> bytes:
+        """Ids of one word's path; a hash that only looked like a piece's has the word searched plainly."""
+        out, at = [], 0
+        for i in path:
+            text = self.pieces[i] if i >= 0 else word[at : at + 1]
+            if not word.startswith(text, at):
+                return self.plain(word)
+            out.append((i, text))
+            at += len(text)
+        return self._ids(out) if at == len(word) else self.plain(word)
 
     def _ids(self, path: list[tuple[int, str]]) -> bytes:
         ids: list[int] = []
@@ -155,8 +170,9 @@ class Pieces:
         """Ids (u32, little-endian) of every text."""
         split = [_WORDS(self.normalize(t)) for t in texts]
         memo = self.memo
-        new = {w for p in split for w in p if w not in memo}
+        found = [list(map(memo.get, p)) for p in split]
         fresh: dict[str, bytes] = {}
+        new = {w for p, ids in zip(split, found, strict=True) if None in ids for w, x in zip(p, ids, strict=True) if x is None}
         groups: dict[int, list[str]] = {}
         for w in new:
             if len(w) > 256:
@@ -167,7 +183,7 @@ class Pieces:
             step = max(1, BATCH_CELLS // (n + 1))
             for a in range(0, len(words), step):
                 fresh.update(zip(words[a : a + step], self.viterbi(words[a : a + step]), strict=True))
-        out = [b"".join([memo[w] if w in memo else fresh[w] for w in p]) for p in split]
+        out = [b"".join([fresh[w] if x is None else x for w, x in zip(p, ids, strict=True)] if None in ids else ids) for p, ids in zip(split, found, strict=True)]
         if len(memo) < MEMO_ENTRIES:
             memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
         return out
@@ -179,11 +195,14 @@ class Pieces:
         self._from = np.cumsum(self._size) - self._size
         self._shown = np.frombuffer(b"".join(shown), np.uint8)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids: the pieces' bytes are gathered in one step; the space in front is dropped."""
+    def _shown_bytes(self, ids: np.ndarray) -> bytes:
         size = self._size[ids]
         at = np.repeat(self._from[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        text = self._shown[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+        return self._shown[at].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids: the pieces' bytes are gathered in one step; the space in front is dropped."""
+        text = self._shown_bytes(ids).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -210,8 +229,8 @@ def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text
         sp = loaded(model_file)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                ids = sp.encode(texts[a : a + 256])
+            for a in range(0, len(texts), BATCH_TEXTS):
+                ids = sp.encode(texts[a : a + BATCH_TEXTS])
                 yield pa.RecordBatch.from_arrays([keys.slice(a, len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
@@ -238,8 +257,8 @@ def round_trips(docs: DataFrame, model_file: str, key: str = "doc_id", text: str
         sp = loaded(model_file)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                some = texts[a : a + 256]
+            for a in range(0, len(texts), BATCH_TEXTS):
+                some = texts[a : a + BATCH_TEXTS]
                 ids = sp.encode(some)
                 same = [sp.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(ids, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
