@@ -1,10 +1,11 @@
 """Batch encoding with the tokenizers library, each distinct stretch of text once.
 
-A byte-level BPE with the common splitting pattern never joins text across a
-space that a non-space character follows, and what it does on one side does
-not depend on the other. Texts are therefore cut at such spaces; the library
-encodes each distinct cut once, and a bounded memo in the worker process
-serves the rest. Other tokenizers get whole texts.
+A byte-level BPE with the common splitting pattern never joins what the
+pattern parts. Text in plain letters is parted into words here, and the
+library's model encodes each distinct word once. Other text is cut at spaces
+that a non-space character follows, where the pattern always parts, and the
+library encodes each distinct cut once. Bounded memos in the worker process
+serve the rest. Other tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -18,10 +19,25 @@ import numpy as np
 
 _CUT = re.compile(r" (?=\S)").split
 _NOT_ALL_SPACES_CUT = re.compile(r" (?!\S)").search
-#: Entries that a worker's memo may hold, and the longest cut that it keeps. About 150 bytes each.
+#: Entries that each of a worker's two memos may hold, and the longest cut that it keeps. About 150 bytes each.
 MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
 #: Cuts that the library gets in one text.
 JOINED_CUTS = 2048
+#: Text in Latin letters and common punctuation, whose classes no Unicode version changes, and no white space but spaces and line ends.
+_PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u205e]*").fullmatch
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: What the common splitting pattern makes of such text.
+_WORDS = re.compile(f" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+").findall
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The character that spells each byte in a byte-level vocabulary: itself if it is printable, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(other)}
+
+
+_SPELLED = _byte_alphabet()
 
 
 def cuts_of(text: str) -> list[str]:
@@ -54,6 +70,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,9 +97,37 @@ class Encoder:
             out += [data[x:y] for x, y in zip(at, at[1:], strict=False)]
         return out
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of plain text by the library's model alone."""
+        spelled = word.encode().decode("latin-1").translate(_SPELLED)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _plain_text(self, text: str) -> bytes:
+        words = _WORDS(text)
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            fresh: dict[str, bytes] = {}
+            for i, x in enumerate(ids):
+                if x is None:
+                    w = words[i]
+                    if w not in fresh:
+                        fresh[w] = self._word(w)
+                    ids[i] = fresh[w]
+            if len(self.words) < MEMO_ENTRIES:
+                self.words.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
+        return b"".join(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text."""
         if not self.cuts:
             return self._library(texts)
+        out = [self._plain_text(t) if _PLAIN(t) else None for t in texts]
+        if None in out:
+            rest = iter(self._by_cuts([t for t, x in zip(texts, out, strict=True) if x is None]))
+            out = [next(rest) if x is None else x for x in out]
+        return out
+
+    def _by_cuts(self, texts: list[str]) -> list[bytes]:
         split = [cuts_of(t) for t in texts]
         heads = self._library([p[0] for p in split])
         memo = self.memo

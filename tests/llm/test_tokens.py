@@ -2,11 +2,13 @@
 
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -42,13 +44,31 @@ def test_cuts_change_nothing(texts):
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_plain_classes():
+    for c in map(chr, range(0x2100)):
+        if tokens._PLAIN(c):
+            for own, full in ((tokens._LETTERS, r"\p{L}"), (tokens._NUMBERS, r"\p{N}")):
+                assert bool(re.fullmatch(f"[{own}]", c)) == bool(regex.fullmatch(full, c)), hex(ord(c))
+            assert c.isspace() == (c in " \n")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("adsrevltmQ\u00c4\u00df1\u00b2 '\n.-\u2019\u2014<|>"), max_size=40), max_size=5))
+def test_words_change_nothing(texts):
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    assert all(map(tokens._PLAIN, texts))
+    got = tokens.encoder(PATH).encode(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_memo_is_bounded(monkeypatch, plain):
     monkeypatch.setattr(tokens, "MEMO_ENTRIES", 3)
     enc = tokens.Encoder(PATH)
     for i in range(5):
-        text = " ".join(f"w{i}x{j}" for j in range(10))
+        text = " ".join(f"w{i}x{j}" for j in range(10)) + ("\t" if i % 2 else "")
         assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == plain(text)
-        assert len(enc.memo) <= 12  # the bound and one batch
+        assert len(enc.memo) <= 12 and len(enc.words) <= 40  # the bound and one batch
 
 
 def test_crc32c():
