@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, written
 from tessera.llm.exact_dedup import drop_exact
+from tessera.llm.jaccard import drop_similar
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import redact
-from tessera.llm.simhash import drop_near
 from tessera.llm.toxicity import drop_toxic, learn
 
 
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return drop_near(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8), the one with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
