@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import fresh, whole_text, written
 
 #: The order of kinds at equal starts.
 KINDS = ("email", "ip", "card", "phone")
@@ -175,18 +175,21 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets, e.g. <EMAIL>.
 
     Overlapping spans become one, named by the first. ``n_chars``, if there,
-    becomes the new length. Rows of one doc_id share what is found in any of
-    them where their texts are alike up to there. Texts without spans, null
+    becomes the new length. Rows are matched by their texts' SHA-256: spans
+    depend on the text and on what the whole table induces, so null and
+    repeated doc_ids share nothing but equal texts. Texts without spans, null
     ones included, are unchanged.
     """
-    marked = written(mark_pii(docs, key, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_of"), "spans"), "spans")
-    # one row for each doc_id; repeated rows with other texts have their spans checked below
-    marked = written(marked.groupBy("_of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans")), "spans")
-    out = docs.join(marked, F.col(f"`{key}`").eqNullSafe(F.col("_of")), "left")
+    sha = fresh(docs, "_sha")
+    hashed = docs.withColumn(sha, F.sha2(whole_text(text), 256))
+    marked = mark_pii(hashed, sha, text).filter(F.size("spans") > 0)
+    # one row for each text; the spans of equal texts are equal
+    marked = written(marked.groupBy(F.col("doc_id").alias("_of")).agg(F.first("spans").alias("_spans")), "spans")
+    out = hashed.join(marked, F.col(sha) == F.col("_of"), "left")
     body = whole_text(text)
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 

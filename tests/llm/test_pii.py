@@ -85,5 +85,13 @@ def test_redaction(spark, edge, docs):
             assert r.text == texts[r.doc_id]
 
 
+def test_redaction_is_by_row(spark):
+    rows = [(None, "mail bob@example.com now"), (None, "a clean text that must stay as it is"), (None, "at ip 10.0.0.1, then more"), (None, None)]
+    rows += [(5, "mail ann@example.com or bob@example.com"), (5, "another clean text under the same id"), (5, "mail ann@example.com or bob@example.com")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = [(0, "mail <EMAIL> now"), (0, rows[1][1]), (0, "at ip <IP>, then more"), (0, ""), (5, rows[5][1]), *[(5, "mail <EMAIL> or <EMAIL>")] * 2]
+    assert got == sorted(want)
+
+
 def test_empty(empty):
     assert pii.mark_pii(empty).count() == pii.redact(empty).count() == 0
