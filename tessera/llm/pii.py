@@ -2,9 +2,11 @@
 
 Base patterns find emails, IP addresses, cards and phone numbers. They seed a
 bootstrap: the words in front of seeds induce lexical patterns; patterns and
-the tokens that they extract form a graph, which is scored in rounds (RlogF of
-the pattern, noisy-or of the instance); what high-confidence patterns extract
-becomes an instance of their kind, and adds spans where they stand.
+what they extract form a graph, which is scored in rounds until no instance is
+added (RlogF of the pattern, noisy-or of the instance); what high-confidence
+patterns extract becomes an instance of their kind, and adds spans where they
+stand. Against a pattern count values of other kinds and those that cannot be
+of its kind; values that may be and are not known yet count neither way.
 
 Everything is DataFrame functions. Only contexts and 64-bit hashes of
 instances are shuffled, aggregated before they are sent.
@@ -29,12 +31,21 @@ PATTERNS = {
 }
 #: A cheap test that a text may hold a match.
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens with a digit, which the bootstrap may add.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_OPEN = r"[\[({<]\x20?(?:%s)\x20?[\])}>]"
+_AT, _DOT = (_OPEN % "at|@"), (_OPEN % r"dot|\.")
+#: What the bootstrap may add: groups of digits over several tokens, disguised addresses, single tokens with a digit.
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D])(?:"
+    r"[(+]*+[0-9][0-9()./+-]*+(?:\x20\(?[0-9]{2,}+[0-9()./-]*+)++(?![A-Za-z])"
+    r"|[(<\[\"']{0,3}+(?:[A-Za-z_-]{2,32}[=:][\"']?)?[A-Za-z0-9._%+-]{1,64}+(?i:"
+    rf"(?:\x20?{_AT}\x20?|@)[A-Za-z0-9-]{{1,63}}+(?:(?:\.|\x20?{_DOT}\x20?|\x20dot\x20)[A-Za-z0-9-]{{1,63}}+)*+"
+    rf"|\x20at\x20[A-Za-z0-9-]{{1,63}}+(?:(?:\x20dot\x20|\x20?{_DOT}\x20?)[A-Za-z0-9-]{{1,63}}+)++)"
+    r"|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)"
+)
 #: Context: so many characters back, and two words of them.
 CONTEXT_CHARS = 64
-#: A pattern needs so many different instances of its kind, and this share of all it extracts; an instance this score.
-LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE, ROUNDS = 5, 0.8, 0.8, 3
+#: A pattern needs so many different instances of its kind, and this share of all that speak for or against; an instance this score.
+LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE = 5, 0.8, 0.8
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,context:string>>"
 
 
@@ -49,25 +60,50 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-def _context(gap: Column) -> Column:
-    """The last two words in front of a span, lower-cased, digits as 0."""
-    tail = F.lower(F.regexp_replace(F.right(gap, F.lit(CONTEXT_CHARS)), "[0-9]+", "0"))
-    return F.trim(F.regexp_replace(F.regexp_extract(tail, r"((?:\S+\s+)?\S+)\s*$", 1), r"\s+", " "))
+def _context(tail: Column) -> Column:
+    """Of the text in front of a span: a key with = or : that touches it, else the last two words; lower-cased, digits as 0.
+
+    Seeds and candidates alike; opening brackets and quotes at the end don't count.
+    """
+    low = F.regexp_replace(F.lower(F.regexp_replace(F.right(tail, F.lit(CONTEXT_CHARS)), "[0-9]+", "0")), r"[(<\[\"']+$", "")
+    key = F.regexp_extract(low, r"(?:^|[\s(<\[\"'])([a-z_-]{2,32}[=:])$", 1)
+    words = F.trim(F.regexp_replace(F.regexp_extract(low, r"((?:\S+\s+)?\S+)\s*$", 1), r"\s+", " "))
+    return F.when(F.length(key) > 0, key).otherwise(words)
+
+
+def _may_be(kind: str, value: Column) -> Column:
+    """Whether a value that no base pattern finds can be of a kind by its form."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    if kind == "email":
+        return F.regexp_like(value, F.lit(r"(?i)^[a-z0-9._%+-]+(?:@|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)[a-z0-9-]"))
+    if kind == "ip":
+        plain = F.regexp_like(value, F.lit(r"^[0-9]+(?:\.[0-9]+){3}$"))
+        form = r"^(?:[0-9]{1,3}(?:[\[({]?(?:\.|dot)[\])}]?[0-9]{1,3}){3}(?:[:/][0-9]+)?|(?=.*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})$"
+        return ~plain & F.regexp_like(value, F.lit(form)) & ~F.regexp_like(value, F.lit("^[0-9]{1,2}:[0-9]{2}:[0-9]{2}$"))
+    form = F.regexp_like(value, F.lit(r"^[(+]*[0-9][0-9\s().+/-]*$")) & ~F.regexp_like(value, F.lit(r"^(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})$"))
+    if kind == "card":
+        return form & (digits.between(12, 13) | _valid("card", value))
+    return form & digits.between(7, 15) & ~F.regexp_like(value, F.lit(r"^[0-9]+\.[0-9]+$|^[0-9]+(?:\.[0-9]+){3}$"))
 
 
 def _matches(kind: str, pattern: str, text: Column, guard: str | None) -> Column:
-    """All matches in order with code point positions: what lies between them measures where they are."""
+    """All matches in order with code point positions: what lies between them measures where they are.
+
+    ``context`` is the text in front, earlier matches included, up to ``CONTEXT_CHARS``.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if guard:
         found = F.when(F.contains(text, F.lit(guard)), found).otherwise(F.array().cast("array<string>"))
     pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["gap"])
         b = a + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["m"].alias("value"), _context(x["gap"]).alias("context"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        front = F.right(F.concat(acc["tail"], F.right(x["gap"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        span = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["m"].alias("value"), front.alias("context"))
+        tail = F.right(F.concat(front, F.right(x["m"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        return F.struct(b.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     spans = F.aggregate(pairs, start, step)["out"]
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
@@ -87,18 +123,18 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Tokens with a digit that touch no base span, with the words in front; ``key=value`` tokens are parted there."""
+    """Candidates that touch no base span, without brackets, quotes and a key with = or : in front; these are context."""
 
     def parted(s: Column) -> Column:
-        key = F.regexp_extract(s["value"], "^([A-Za-z_-]{2,32}[=:][\"']?)[^=:]", 1)
+        key = F.regexp_extract(s["value"], r"^((?:[<\[\"']|\((?![0-9]+\)))*(?:[A-Za-z_-]{2,32}[=:][\"']?(?![=:]|$))?)", 1)
         value = F.regexp_replace(F.substr(s["value"], F.length(key) + 1), "[\"'.,;:!?)]+$", "")
         a = s["start"] + F.length(key)
-        context = F.when(F.length(key) > 0, F.lower(key)).otherwise(s["context"])
-        return F.struct(s["kind"].alias("kind"), a.alias("start"), (a + F.length(value)).alias("end"), value.alias("value"), context.alias("context"))
+        return F.struct(s["kind"].alias("kind"), a.alias("start"), (a + F.length(value)).alias("end"), value.alias("value"), F.concat(s["context"], key).alias("context"))
 
-    tokens = F.transform(_matches("", TOKEN, text, None), parted)
+    tokens = F.transform(_matches("", CANDIDATE, text, None), parted)
     free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    return F.when(F.regexp_like(text, F.lit("[0-9]")), F.filter(free, lambda t: F.length(t["value"]) >= 4)).otherwise(F.array().cast(_SPAN))
+    any_ = F.regexp_like(text, F.lit(r"[0-9@]|(?i:[\[({<\x20]at[\])}>\x20])"))
+    return F.when(any_, F.filter(free, lambda t: F.length(t["value"]) >= 4)).otherwise(F.array().cast(_SPAN))
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,25 +142,31 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), whole_text(text).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("free", _candidates(F.col("text"), F.col("base")))
-    slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h"), s["context"].alias("context"))
-    return written(rows.select("doc_id", "rid", F.transform("base", slim).alias("base"), F.transform("free", slim).alias("free")), "found")
+    slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h"), _context(s["context"]).alias("context"))
+    can = F.transform("free", lambda s: F.struct(*(_may_be(k, s["value"]).alias(k) for k in KINDS)))
+    free = F.transform(F.arrays_zip(F.transform("free", slim).alias("s"), can.alias("can")), lambda x: x["s"].withField("can", x["can"]))
+    return written(rows.select("doc_id", "rid", F.transform("base", slim).alias("base"), free.alias("free")), "found")
 
 
 def bootstrap(table: DataFrame) -> DataFrame:
     """context, h, kind: what the rounds' high-confidence patterns extract, apart from the seeds."""
-    seeds = table.select(F.explode("base").alias("s")).select("s.context", "s.h", "s.kind")
-    free = table.select(F.explode("free").alias("s")).select("s.context", "s.h", F.lit(None).cast("string").alias("kind"))
+    nothing = F.struct(*(F.lit(False).alias(k) for k in KINDS))
+    seeds = table.select(F.explode("base").alias("s")).select("s.context", "s.h", "s.kind", nothing.alias("can"))
+    free = table.select(F.explode("free").alias("s")).select("s.context", "s.h", F.lit(None).cast("string").alias("kind"), "s.can")
     # The graph: one edge for each pattern and distinct instance. A value that is a seed anywhere is one everywhere.
-    edges = written(seeds.unionAll(free).filter("context != ''").groupBy("context", "h").agg(F.max("kind").alias("seed")), "edges")
+    edges = seeds.unionAll(free).filter("context != ''").groupBy("context", "h").agg(F.max("kind").alias("seed"), F.max("can").alias("can"))
+    edges = written(edges, "edges")
     accepted = edges.select("h", F.col("seed").alias("kind")).filter("kind is not null").groupBy("h").agg(F.min("kind").alias("kind"))
     accepted = written(accepted, "seeds")
-    for _ in range(ROUNDS):
+    while True:
         known = edges.join(accepted, "h", "left")
         support = [F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS]
-        counted = known.groupBy("context").agg(F.count(F.lit(1)).alias("n"), *support)
-        best = F.greatest(*(F.struct(F.col(k).alias("f"), F.lit(k).alias("kind")) for k in KINDS))
+        # what speaks against a kind: other kinds, and values that cannot be of it
+        against = [F.count(F.when(F.coalesce(F.col("kind") != k, ~F.col(f"can.{k}")), 1)).alias(f"not_{k}") for k in KINDS]
+        counted = known.groupBy("context").agg(*support, *against)
+        best = F.greatest(*(F.struct(F.col(k).alias("f"), (-F.col(f"not_{k}")).alias("against"), F.lit(k).alias("kind")) for k in KINDS))
         scored = counted.withColumn("b", best).select(
-            "context", F.col("b.kind").alias("by"), F.col("b.f").alias("f"), (F.col("b.f") / F.col("n")).alias("confidence")
+            "context", F.col("b.kind").alias("by"), F.col("b.f").alias("f"), (F.col("b.f") / (F.col("b.f") - F.col("b.against"))).alias("confidence")
         )
         # RlogF weighs a pattern's confidence by how much it extracts; both of its factors are held to a bound
         patterns = written(
@@ -132,7 +174,8 @@ def bootstrap(table: DataFrame) -> DataFrame:
             .select("context", "by", "confidence", (F.col("confidence") * F.log2("f")).alias("rlogf")),
             "patterns",
         )
-        drawn = known.filter("kind is null").join(patterns, "context")
+        able = F.coalesce(*(F.when(F.col("by") == k, F.col(f"can.{k}")) for k in KINDS))
+        drawn = known.filter("kind is null").join(patterns, "context").filter(able)
         miss = F.exp(F.sum(F.ln(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         new = drawn.groupBy("h", "by").agg((1 - miss).alias("score"), F.sum("rlogf").alias("rlogf")).filter(F.col("score") >= LEAST_SCORE)
         # of several kinds, the one whose patterns are the strongest

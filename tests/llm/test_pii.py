@@ -70,6 +70,25 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(got[i][0] == got[i][1] != "" for i in range(12))
 
 
+def test_bootstrap_finds_most_where_few_are_seeds(spark):
+    rows = [(i, f"please ring me on +1 555 010 {1000 + i} any day") for i in range(5)]
+    rows += [(100 + i, f"please ring me on (030) 123-4{100 + i} any day") for i in range(9)]
+    rows += [(200 + i, f"then write to name{i}@example.com at once") for i in range(5)]
+    rows += [(300 + i, f"then write to {x} at once") for i, x in enumerate(["bob[at]example.org", "ann at example dot org", "(eve (at) example.org)"])]
+    rows += [(400 + i, f"it came to +1 555 020 {1000 + i} or so") for i in range(5)] + [(500 + i, f"it came to {i}2.50 or so") for i in range(5)]
+    rows += [(600, "it came to 555-010-7777 or so"), (700, "see 12 of (030) 999-4999 please ring me on 0301234999.")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.s for r in pii.mark_pii(df).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    texts = dict(rows)
+    assert all(got[100 + i] == "phone:18:32" for i in range(9))
+    values = ["bob[at]example.org", "ann at example dot org", "eve (at) example.org"]
+    for i, v in enumerate(values):
+        a = texts[300 + i].index(v)
+        assert got[300 + i] == f"email:{a}:{a + len(v)}"
+    assert all(got[d] == "" for d in (500, 504, 600))  # half of what the pattern extracts can be no phone
+    assert got[700] == "phone:43:53"
+
+
 def test_redaction(spark, edge, docs):
     got = {r.doc_id: r.text for r in pii.redact(edge).filter("doc_id in (3, 14)").collect()}
     assert got == {3: None, 14: "mail <EMAIL>, ring <PHONE> or 10.0.0.256 / <IP>; card <CARD>."}
