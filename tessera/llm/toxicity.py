@@ -58,7 +58,7 @@ class Model:
         term, errors = found
         if errors and word in self.harmless:
             return 0.0
-        return (self.terms.get(term) or self.stems[term]) * FUZZY_WORTH**errors
+        return (self.stems.get(term) or self.terms[term]) * FUZZY_WORTH**errors
 
     def measures(self, text: str) -> list[float]:
         low = text.lower()
@@ -136,8 +136,8 @@ def _lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float
         # a stem must catch clearly more rows than any one word that begins with it
         if worth[f][1] > 1.2 * max(whole, longest) and not any(stem.startswith(s) for s in stems):
             stems[stem] = worth[f][0]
-    terms = {w: x for w, x in words.items() if not any(w.startswith(s) for s in stems)}
-    terms = dict(sorted(terms.items(), key=lambda t: -t[1])[:MAX_TERMS])
+    # stems are exact; words that begin with one stay, so that their misspellings are caught, but take no other term's place
+    terms = dict(sorted(words.items(), key=lambda t: (t[0].startswith(tuple(stems)), -t[1]))[:MAX_TERMS])
     top = max([*terms.values(), *stems.values()], default=1.0)
     return {w: x / top for w, x in terms.items()}, {s: x / top for s, x in stems.items()}
 

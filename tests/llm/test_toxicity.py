@@ -77,6 +77,19 @@ def test_misspelling_and_quotation(corpus):
     assert model.score("") < 0.5
 
 
+def test_misspelled_words_of_a_stem(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    forms = ["blorgus", "blorgusen", "blorgustic"]
+    rows = [(i, " ".join([*rng.choices(words, k=30), *([forms[i // 5 % 3]] * 3 if i % 5 == 0 else [])])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id bigint, toxic int"))
+    assert any(f.startswith(s) for s in model.stems for f in forms)
+    for word in ("b1orgus", "blrgusen", "1lorgustik"):
+        assert 0 < model.hit(word) < model.hit("blorgus")
+    assert model.hit("blorgusing") == model.hit("blorgus")
+
+
 def test_rows_of_all_kinds(spark, edge, empty, corpus):
     _, labels, _, model = corpus
     got = toxicity.score_documents(edge, model).collect()
