@@ -5,7 +5,8 @@ pattern parts. Text in plain letters is parted into words here, and the
 library's model encodes each distinct word once. Other text is cut at spaces
 that a non-space character follows, where the pattern always parts, and the
 library encodes each distinct cut once. Bounded memos in the worker process
-serve the rest. Other tokenizers get whole texts.
+serve the rest. Added tokens, such as the end of a text, are what the library
+makes of them: a text is parted at them first. Other tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -46,15 +47,23 @@ def cuts_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned ids of ``width`` bytes each."""
+    """Encodes texts to little-endian unsigned ids of ``width`` bytes each, as the library's ``encode`` does.
 
-    def __init__(self, path: str):
+    With ``special_as_text`` a special token's name in a text is ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         spec = json.loads(self.tokenizer.to_str())
+        added = [t for t in spec.get("added_tokens", []) if not (special_as_text and t["special"])]
+        self.added = {t["content"]: t["id"] for t in added}
+        names = sorted(self.added, key=len, reverse=True)
+        self._at_added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        simple = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = bool(
             spec["model"]["type"] == "BPE"
@@ -62,6 +71,7 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
             and not spec.get("normalizer")
+            and simple
         )
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -121,6 +131,18 @@ class Encoder:
         """Ids of every text."""
         if not self.cuts:
             return self._library(texts)
+        if self._at_added and any(map(self._at_added.search, texts)):
+            return self._between_added(texts)
+        return self._encode_parts(texts)
+
+    def _between_added(self, texts: list[str]) -> list[bytes]:
+        """Texts with added tokens: what stands between them is encoded on its own."""
+        split = [self._at_added.split(t) for t in texts]
+        parts = iter(self._encode_parts([x for p in split for x in p[::2]]))
+        size = self.width
+        return [b"".join(self.added[x].to_bytes(size, "little") if k % 2 else next(parts) for k, x in enumerate(p)) for p in split]
+
+    def _encode_parts(self, texts: list[str]) -> list[bytes]:
         out = [self._plain_text(t) if _PLAIN(t) else None for t in texts]
         if None in out:
             rest = iter(self._by_cuts([t for t, x in zip(texts, out, strict=True) if x is None]))

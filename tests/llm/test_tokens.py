@@ -17,12 +17,12 @@ from tessera.llm import packing, records, tokens
 from tessera.llm.crc32c import _plain, crc32c
 
 PATH = records.default_tokenizer()
+ENCODERS = {flag: tokens.Encoder(PATH, flag) for flag in (False, True)}
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -44,6 +44,14 @@ def test_cuts_change_nothing(texts):
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_added_tokens_are_the_librarys():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b \t<|endoftext|>é　x", "<|endoftext|", "plain"]
+    t = Tokenizer.from_file(PATH)
+    got = [np.frombuffer(g, "<u2").tolist() for g in tokens.encoder(PATH).encode(texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert got[0] == [31373, 220, 50256, 995]
+
+
 def test_plain_classes():
     for c in map(chr, range(0x2100)):
         if tokens._PLAIN(c):
@@ -56,7 +64,6 @@ def test_plain_classes():
 @given(st.lists(st.text(st.sampled_from("adsrevltmQ\u00c4\u00df1\u00b2 '\n.-\u2019\u2014<|>"), max_size=40), max_size=5))
 def test_words_change_nothing(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     assert all(map(tokens._PLAIN, texts))
     got = tokens.encoder(PATH).encode(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
