@@ -6,6 +6,11 @@ all their substrings probe the sorted hashes of the pieces of that length, and
 vectorised maxima of score sums store backpointers. Ties go to the longest
 last piece. The search maximises the sum of piece scores
 (the unigram objective) for any vocabulary that it is given.
+
+Long words, such as text without spaces, are cut into chunks that advance
+together too: once from every state that a chunk may begin in, which gives its
+transition in max-plus algebra; the transitions are chained; and once more from
+the true states. Sums are integers, so their order changes nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +29,12 @@ from .common import small_batches, whole_text
 SPACE = "▁"
 #: What an unknown character costs below the worst piece's score (the library's penalty).
 UNKNOWN_PENALTY = 10.0
+#: Words of more characters are searched in chunks of so many, this number of chunks at once.
+CHUNK, CHUNKS = 256, 512
+#: Below any sum of scores; twice it is still a 64-bit integer.
+_NONE = -(1 << 60)
+#: A code that no character has.
+_NOTHING = np.uint64(0xFFFFFFFF)
 #: Distinct words that a worker keeps, the longest of them, and cells (words x length x piece lengths) of a batch.
 MEMO_ENTRIES, MEMO_CHARS, BATCH_CELLS = 300_000, 32, 1 << 18
 #: Texts whose words are searched together.
@@ -38,10 +49,13 @@ class Pieces:
     def __init__(self, pieces: list[str], scores: list[float], usable: list[bool], bytes_of: dict[int, int] | None = None, unknown: int = 0):
         self.pieces, self.unknown = pieces, unknown
         self.ids = {p: i for i, (p, ok) in enumerate(zip(pieces, usable, strict=True)) if ok}
-        self.scores = np.array(scores)
+        scores = np.array(scores, float)
+        # fixed point: exact for whole scores and for single precision ones from a half on
+        scale = 1.0 if (scores == np.rint(scores)).all() else float(1 << 24)
+        self.scores = np.rint(scores * scale).astype(np.int64)
         self.byte_ids = {b: i for i, b in (bytes_of or {}).items()}
         self.byte_fallback = len(self.byte_ids) == 256
-        self.unknown_score = min((scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.unknown_score = min((int(self.scores[i]) for i in self.ids.values()), default=0) - int(UNKNOWN_PENALTY * scale)
         self.longest = max(map(len, self.ids), default=1)
         self.power = np.cumprod(np.append(np.uint64(1), np.full(self.longest, _BASE)), dtype=np.uint64)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -83,11 +97,11 @@ class Pieces:
         return out
 
     def _probe(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1 if none) and scores (-inf) of substrings of length ``n`` by their hashes."""
+        """Ids (-1 if none) and scores (_NONE) of substrings of length ``n`` by their hashes."""
         keys, ids, scores = self.by_length[n]
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         hit = keys[at] == hashes
-        return np.where(hit, ids[at], -1), np.where(hit, scores[at], -np.inf)
+        return np.where(hit, ids[at], -1), np.where(hit, scores[at], _NONE)
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids (u32, little-endian) of words of one length, which advance together."""
@@ -100,10 +114,10 @@ class Pieces:
             if k in self.by_length:
                 found[k] = self._probe(hashes[k:] - hashes[: n - k + 1] * self.power[k], k)
             else:
-                found[k] = np.full((n, count), -1), np.full((n, count), -np.inf)
+                found[k] = np.full((n, count), -1), np.full((n, count), _NONE)
             if k == 1:
                 found[k] = found[k][0], np.where(found[k][0] < 0, self.unknown_score, found[k][1])
-        best = np.zeros((n + 1, count))
+        best = np.zeros((n + 1, count), np.int64)
         back, piece = np.zeros((n + 1, count), np.int64), np.full((n + 1, count), -2, np.int64)
         every = np.arange(count)
         for end in range(1, n + 1):
@@ -147,14 +161,14 @@ class Pieces:
         return np.array(ids, "<u4").tobytes()
 
     def plain(self, word: str) -> bytes:
-        """The same search without numpy, for words so long that a row of their own would be slow."""
-        best, back = [0.0], [(0, -1)]
+        """The same search without numpy, where a hash only looked like a piece's."""
+        best, back = [0], [(0, -1)]
         for end in range(1, len(word) + 1):
-            top = (-np.inf, 0, -1)
+            top = (2 * _NONE, 0, -1)
             for k in range(min(end, self.longest), 0, -1):
                 i = self.ids.get(word[end - k : end], -1)
                 if i >= 0 or k == 1:
-                    total = best[end - k] + (float(self.scores[i]) if i >= 0 else self.unknown_score)
+                    total = best[end - k] + (int(self.scores[i]) if i >= 0 else self.unknown_score)
                     if total > top[0]:
                         top = (total, k, i)
             best.append(top[0])
@@ -166,6 +180,73 @@ class Pieces:
             end -= k
         return self._ids(out[::-1])
 
+    def chunked(self, words: list[str]) -> list[bytes]:
+        """Ids (u32, little-endian) of words of any lengths, whose chunks advance together.
+
+        A state holds the best sums at the last ``longest`` positions, latest
+        first. What follows a word in its last chunk, one position at least,
+        is a code without pieces, so no piece crosses words.
+        """
+        size = self.longest
+        counts = np.array([len(w) // CHUNK + 1 for w in words])
+        first = np.cumsum(counts) - counts
+        codes = np.full(size - 1 + int(counts.sum()) * CHUNK, _NOTHING, np.uint64)
+        for w, a in zip(words, first.tolist()):
+            at = size - 1 + a * CHUNK
+            codes[at : at + len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4")
+        opens = np.zeros(int(counts.sum()), bool)
+        opens[first] = True
+        back, piece = np.empty(len(opens) * CHUNK, np.int32), np.empty(len(opens) * CHUNK, np.int32)
+        lengths = sorted({1, *self.by_length}, reverse=True)
+        state = start = np.append(0, np.full(size - 1, _NONE))
+        for a in range(0, len(opens), CHUNKS):
+            rows = np.arange(a, min(a + CHUNKS, len(opens)))
+            m = len(rows)
+            block = codes[rows[:, None] * CHUNK + np.arange(CHUNK + size - 1)] + np.uint64(1)
+            ids, scores, h = {}, {}, np.zeros((m, CHUNK + size), np.uint64)
+            for k in range(1, size + 1):  # hashes of all substrings of length k, from those one shorter
+                h = h[:, :-1] * _BASE + block[:, k - 1 :]
+                if k in lengths:
+                    ends = np.ascontiguousarray(h[:, size - k : size - k + CHUNK].T)
+                    ids[k], scores[k] = self._probe(ends, k) if k in self.by_length else (np.full(ends.shape, -1), np.full(ends.shape, _NONE))
+            scores[1] = np.where(ids[1] < 0, self.unknown_score, scores[1])
+            # from every state of one position alone: the chunks' transitions
+            best = np.full((size + CHUNK, m, size), _NONE)
+            for i in range(size):
+                best[size - 1 - i, :, i] = 0
+            for t in range(CHUNK):
+                now = best[size + t]
+                for k in lengths:
+                    np.maximum(now, best[size + t - k] + scores[k][t][:, None], out=now)
+            last = best[CHUNK:][::-1]
+            states = np.empty((m, size), np.int64)
+            for c in range(m):
+                if opens[a + c]:
+                    state = start
+                states[c] = state
+                state = np.maximum((last[:, c] + state).max(1), _NONE)
+            # from the true states, with backpointers
+            best = np.full((size + CHUNK, m), _NONE)
+            best[:size] = states.T[::-1]
+            steps, pieces = np.empty((CHUNK, m), np.int32), np.empty((CHUNK, m), np.int32)
+            ks, every = np.array(lengths, np.int32), np.arange(m)
+            for t in range(CHUNK):
+                totals = np.stack([best[size + t - k] + scores[k][t] for k in lengths])
+                top = totals.argmax(0)  # longest first: the first maximum keeps ties
+                best[size + t] = np.maximum(totals[top, every], _NONE)
+                steps[t] = ks[top]
+                pieces[t] = np.stack([ids[k][t] for k in lengths])[top, every]
+            back[a * CHUNK : (a + m) * CHUNK] = steps.T.ravel()
+            piece[a * CHUNK : (a + m) * CHUNK] = pieces.T.ravel()
+        out = []
+        for w, a in zip(words, first.tolist()):
+            at, end, path = a * CHUNK - 1, len(w), []
+            while end > 0:
+                path.append(int(piece[at + end]))
+                end -= int(back[at + end])
+            out.append(self._checked(w, path[::-1]))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (u32, little-endian) of every text."""
         split = [_WORDS(self.normalize(t)) for t in texts]
@@ -174,11 +255,14 @@ class Pieces:
         fresh: dict[str, bytes] = {}
         new = {w for p, ids in zip(split, found, strict=True) if None in ids for w, x in zip(p, ids, strict=True) if x is None}
         groups: dict[int, list[str]] = {}
+        long = []
         for w in new:
-            if len(w) > 256:
-                fresh[w] = self.plain(w)
+            if len(w) > CHUNK:
+                long.append(w)
             else:
                 groups.setdefault(len(w), []).append(w)
+        if long:
+            fresh.update(zip(long, self.chunked(long), strict=True))
         for n, words in groups.items():
             step = max(1, BATCH_CELLS // (n + 1))
             for a in range(0, len(words), step):
@@ -239,12 +323,12 @@ def encode_documents(docs: DataFrame, model_file: str, key: str = "doc_id", text
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
-    """doc_id and text of rows of ``encode_documents``."""
+    """doc_id and text of rows of ``encode_documents``; null ids have a null text, no ids an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = loaded(model_file)
         for batch in batches:
-            texts = [sp.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else sp.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -122,12 +123,38 @@ def test_long_and_short_words_agree():
         assert sp.viterbi([w])[0] == sp.plain(w)
 
 
+@pytest.mark.parametrize(("chunk", "chunks"), [(256, 512), (8, 3), (3, 2)])
+def test_chunks_change_nothing(monkeypatch, chunk, chunks):
+    """Words of both sides of a chunk's length, many at once; scores whole and not."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(S, "CHUNKS", chunks)
+    rng = random.Random(chunk)
+    made = sorted({"".join(rng.choice("ab▁é") for _ in range(rng.randrange(1, 7))) for _ in range(60)} - {"b"})
+    for sp in (S.loaded(MODEL), S.Pieces(["<unk>", *made], [0.0, *(-rng.random() * 9 for _ in made)], [False] + [True] * len(made))):
+        words = ["".join(rng.choice("ab▁éthein日😀") for _ in range(n)) for n in (1, 7, 8, 9, 15, 16, 17, 255, 256, 257, 511, 512, 513, 1700)]
+        assert sp.chunked(words) == [sp.plain(w) for w in words]
+        fresh = [w + "x" * i for i, w in enumerate(words)]
+        texts = [w.replace(S.SPACE, " ") for w in fresh]
+        assert sp.encode(texts) == [b"".join(sp.plain(w) for w in S._WORDS(sp.normalize(t))) for t in texts]
+
+
+def test_a_long_text_without_spaces():
+    sp = S.loaded(MODEL)
+    text = "".join(random.Random(4).choices("internationalization日本語テキスト0123456789", k=1 << 20))
+    began = time.perf_counter()
+    got = sp.encode([text])[0]
+    assert time.perf_counter() - began < 30
+    assert sp.decode(np.frombuffer(got, "<u4")) == text
+
+
 @pytest.mark.parametrize("name", ["edge", "docs"])
 def test_documents(request, name):
     df = request.getfixturevalue(name)
     encoded = S.encode_documents(df, MODEL)
     back = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in S.decode_documents(encoded, MODEL).collect())
     assert back == sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+    nulls = encoded.limit(2).selectExpr("doc_id", "cast(null as binary) as ids")
+    assert all(r.text is None for r in S.decode_documents(nulls, MODEL).collect())
     crc = sorted((zlib.crc32(r.ids), len(r.ids) // 4) for r in encoded.collect())
     got = S.round_trips(df, MODEL).collect()
     assert all(r.round_trip for r in got) and sorted((r.ids_crc32, r.n_ids) for r in got) == crc
