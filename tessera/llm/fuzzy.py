@@ -3,7 +3,8 @@
 A state is a set of (trie node, errors so far): every term of the lexicon runs
 its own automaton, and common prefixes run once. The sets that occur are
 interned and their transitions cached, so a word costs a dictionary look-up
-per character, and most words die after a few.
+per character, and most words die after a few. When there are ``MAX_STATES``,
+all are forgotten and found anew, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
+#: Some kilobytes each.
+MAX_STATES = 8192
+
+
 class _Node:
     __slots__ = ("children", "term", "stem", "budget", "below")
 
@@ -53,8 +58,12 @@ class Lexicon:
                 node.stem = text
             else:
                 node.term, node.budget = text, k
+        self._root = root
+        self._forget()
+
+    def _forget(self) -> None:
         self._states: dict[frozenset, _State] = {}
-        self._start = self._state({(root, 0)})
+        self._start = self._state({(self._root, 0)})
 
     def _state(self, pairs: set) -> _State:
         todo = list(pairs)
@@ -83,6 +92,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term with fewest errors, or the stem that begins the word, and the number of errors."""
+        if len(self._states) > MAX_STATES:
+            self._forget()
         state, alphabet = self._start, self.alphabet
         for c in word:
             if c not in alphabet:

@@ -9,6 +9,7 @@ insult differs from hurling it; a small logistic model weighs these measures.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -27,17 +28,30 @@ from .fuzzy import Lexicon
 MAX_TRAINING_ROWS = 20_000
 #: A term must be in this share of the toxic rows (3 at least), so many times likelier there, and no accident.
 LEAST_SHARE, LEAST_RATIO, MOST_CHANCE = 0.01, 10.0, 1e-4
-MAX_TERMS = 2000
 STEM_LENGTHS = (4, 5, 6)
 #: Words before and after a hit that make its window; a misspelled hit counts for this much.
 WINDOW, FUZZY_WORTH = 8, 0.6
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
-_QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’')
+#: Quotations end with their line; none holds its own opening mark, so the search is linear.
+_QUOTED = re.compile(r'"[^"\n]+"|“[^“”\n]+”|«[^«»\n]+»|„[^„“”\n]+[“”]|‘[^‘’\n]+’')
 #: Before any row is seen: intercept, plain hits, quoted hits, densest window, hits per word.
 PRIOR = np.array([-3.0, 1.5, 0.2, 1.0, 0.5])
 
 
+_BUILT: dict[bytes, Lexicon] = {}
+
+
+def _built(terms: dict[str, float], stems: dict[str, float]) -> Lexicon:
+    """This process's automaton of a lexicon: a worker's tasks share it, with all that they have determinised."""
+    key = hashlib.sha256(repr((sorted(terms), sorted(stems))).encode("utf-8", "surrogatepass")).digest()
+    if key not in _BUILT:
+        if len(_BUILT) >= 2:
+            _BUILT.clear()
+        _BUILT[key] = Lexicon(terms, stems)
+    return _BUILT[key]
+
+
 @dataclass
 class Model:
     terms: dict[str, float] = field(default_factory=dict)
@@ -51,7 +65,7 @@ class Model:
     def hit(self, word: str) -> float:
         """The worth of a word: 0 without a match, less for a misspelling; words of clean rows are no misspellings."""
         if "lexicon" not in self.__dict__:
-            self.lexicon = Lexicon(self.terms, self.stems)
+            self.lexicon = _built(self.terms, self.stems)
         found = self.lexicon.match(word)
         if not found:
             return 0.0
@@ -96,12 +110,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def _chance(a: int, mean: float) -> float:
-    """Probability of ``a`` or more in a Poisson variable."""
-    term, below = math.exp(-mean), 0.0
-    for i in range(a):
-        below += term
-        term *= mean / (i + 1)
-    return max(0.0, 1 - below) if below < 0.999 else term * (1 + mean)
+    """Probability of ``a`` or more in a Poisson variable, summed in logarithms; 1 where ``a`` is no more than the mean."""
+    if a <= mean or mean <= 0:
+        return 1.0 if a <= mean else 0.0
+    total, term, i = 0.0, 1.0, a
+    while term > 1e-12 * total:  # in units of the first term
+        total += term
+        i += 1
+        term *= mean / i
+    return math.exp(min(0.0, a * math.log(mean) - mean - math.lgamma(a + 1) + math.log(total)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,26 +137,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that mark toxic rows, with their worth.
+
+    Each is in a share of the toxic rows, so they number at most what such a
+    row holds on average, divided by that share, whatever the size of the input.
+    """
     least = max(3, math.ceil(LEAST_SHARE * toxic))
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    rows = counts.filter((F.col("toxic") >= least) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "feature").limit(20 * MAX_TERMS).collect()
+    rows = counts.filter((F.col("toxic") >= least) & (ratio >= LEAST_RATIO)).collect()
     worth = {}
     for r in rows:
         if _chance(r.toxic, (r.toxic + r.clean) * toxic / (toxic + clean)) < MOST_CHANCE:
             worth[r.feature] = (math.log(((r.toxic + 0.5) / (toxic + 1)) / ((r.clean + 0.5) / (clean + 1))), r.toxic)
     words = {f: w for f, (w, _) in worth.items() if f[0] != "\x00"}
     stems: dict[str, float] = {}
-    for f in sorted((f for f in worth if f[0] == "\x00"), key=len):
+    most: dict[str, int] = {}  # by beginning, the rows of its most frequent word
+    for w in words:
+        for k in STEM_LENGTHS:
+            if len(w) >= k:
+                most[w[:k]] = max(most.get(w[:k], 0), worth[w][1])
+    for f in sorted((f for f in worth if f[0] == "\x00"), key=lambda f: (len(f), f)):
         stem = f[1:]
-        whole = worth.get(stem, (0, 0))[1]
-        longest = max((n for w, (_, n) in worth.items() if w[0] != "\x00" and w.startswith(stem)), default=0)
         # a stem must catch clearly more rows than any one word that begins with it
-        if worth[f][1] > 1.2 * max(whole, longest) and not any(stem.startswith(s) for s in stems):
+        if worth[f][1] > 1.2 * most.get(stem, 0) and not any(stem.startswith(s) for s in stems):
             stems[stem] = worth[f][0]
-    # stems are exact; words that begin with one stay, so that their misspellings are caught, but take no other term's place
-    terms = dict(sorted(words.items(), key=lambda t: (t[0].startswith(tuple(stems)), -t[1]))[:MAX_TERMS])
-    top = max([*terms.values(), *stems.values()], default=1.0)
-    return {w: x / top for w, x in terms.items()}, {s: x / top for s, x in stems.items()}
+    # stems are exact; words that begin with one stay, so that their misspellings are caught
+    top = max([*words.values(), *stems.values()], default=1.0)
+    return {w: x / top for w, x in words.items()}, {s: x / top for s, x in stems.items()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,7 +234,11 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns; nothing is shuffled.
+
+    A null text counts as empty and stays null; repeated rows, null doc_ids
+    included, stay or go alike by their texts. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
