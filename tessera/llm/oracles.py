@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .quality import ACCURACY, FENCE, LEAST_FACTOR, LEAST_GROUP
+from .quality import ACCURACY, FENCE, LEAST_FACTOR, PRIOR_ROWS
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -33,11 +33,10 @@ _RULES = {
 _VALUES = " UNION ALL ".join(
     f"SELECT doc_id, lang, source, base_failed, '{rule}' AS rule, ln({value}) AS x FROM m WHERE n_words > 0" for rule, value in _RULES.items()
 )
-_FENCES = f"""SELECT *, lo - greatest({FENCE}::DOUBLE * (hi - lo), ln({LEAST_FACTOR}::DOUBLE)) AS low, hi + greatest({FENCE}::DOUBLE * (hi - lo), ln({LEAST_FACTOR}::DOUBLE)) AS high
-    FROM (SELECT {{by}} rule, max(total) AS total, (min(bucket) FILTER (upto >= ceil(0.25 * total)) + 0.5) * {_WIDTH!r}::DOUBLE AS lo,
-                 (min(bucket) FILTER (upto >= ceil(0.75 * total)) + 0.5) * {_WIDTH!r}::DOUBLE AS hi
-          FROM (SELECT *, sum(n) OVER (PARTITION BY {{by}} rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {{by}} rule) AS total
-                FROM (SELECT {{by}} rule, floor(x / {_WIDTH!r}::DOUBLE) AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL)) GROUP BY ALL)"""
+_QUARTILES = f"""SELECT {{by}} rule, max(total) AS total, (min(bucket) FILTER (upto >= ceil(0.25 * total)) + 0.5) * {_WIDTH!r}::DOUBLE AS lo,
+           (min(bucket) FILTER (upto >= ceil(0.75 * total)) + 0.5) * {_WIDTH!r}::DOUBLE AS hi
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {{by}} rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {{by}} rule) AS total
+          FROM (SELECT {{by}} rule, floor(x / {_WIDTH!r}::DOUBLE) AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL)) GROUP BY ALL"""
 
 QUALITY = f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -51,10 +50,11 @@ b AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_r
       FROM w LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 v AS ({_VALUES}),
-own AS ({_FENCES.format(by="lang, source,")}),
-every AS ({_FENCES.format(by="")}),
-cut AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total < {LEAST_GROUP} THEN every.low ELSE own.low END AS low,
-               CASE WHEN own.total < {LEAST_GROUP} THEN every.high ELSE own.high END AS high FROM own JOIN every USING (rule)),
+own AS ({_QUARTILES.format(by="lang, source,")}),
+every AS ({_QUARTILES.format(by="")}),
+drawn AS (SELECT own.lang, own.source, own.rule, (own.total * own.lo + {PRIOR_ROWS}::DOUBLE * every.lo) / (own.total + {PRIOR_ROWS}::DOUBLE) AS lo,
+                 (own.total * own.hi + {PRIOR_ROWS}::DOUBLE * every.hi) / (own.total + {PRIOR_ROWS}::DOUBLE) AS hi FROM own JOIN every USING (rule)),
+cut AS (SELECT *, lo - greatest({FENCE}::DOUBLE * (hi - lo), ln({LEAST_FACTOR}::DOUBLE)) AS low, hi + greatest({FENCE}::DOUBLE * (hi - lo), ln({LEAST_FACTOR}::DOUBLE)) AS high FROM drawn),
 out AS (SELECT v.doc_id, bool_or((v.rule = 'mean_word' AND x < low) OR x > high) AS far FROM v JOIN cut USING (lang, source, rule) GROUP BY v.doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept
 FROM m LEFT JOIN out USING (doc_id)"""

@@ -4,8 +4,10 @@ Every document's measures go, per language and source, into logarithmic
 quantile sketches (DDSketch: Masson, Rim and Lee, VLDB 2019): counts of
 values by bucket of relative width, which merge by addition in any order.
 Cutoffs come from the sketches' quartiles (wide outer fences), so they follow
-each group's own distribution instead of fixed numbers; a join brings them to
-the documents, which are then filtered.
+each group's own distribution instead of fixed numbers. A group's quartiles
+are drawn towards those of all groups as if it had some more rows of theirs,
+so a small group leans on the others and a large one on itself, by one rule.
+A join brings the cutoffs to the documents, which are then filtered.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 0.02
 #: A value is out beyond the quartile by so many times the quartiles' distance, in logarithms, and by this factor at least.
 FENCE, LEAST_FACTOR = 3.0, 3.0
-#: Groups with fewer documents than this use the cutoffs over all groups.
-LEAST_GROUP = 100
+#: The quartiles over all groups count in each group's as so many rows.
+PRIOR_ROWS = 20.0
 
 
 def _cleared(text: Column, characters: str) -> Column:
@@ -34,61 +36,64 @@ def _cleared(text: Column, characters: str) -> Column:
     return text
 
 
-def _starts(df: DataFrame) -> DataFrame:
-    """From ``_g``, the hashes of a text's windows in order, ``_s``: the sorted positions of those that occur again.
+def _starts(df: DataFrame, p: str) -> DataFrame:
+    """From column ``g``, the hashes of a text's windows in order, ``s``: the sorted positions of those that occur again.
 
     Hashes and positions are packed into one long each (43 and 21 bits) and
     sorted, so that equal hashes are neighbours. Texts in which two hashes
     share their 43 bits, or with over 2^21 windows, take whole structs.
     """
     high, low = F.lit(-(1 << 21)), F.lit((1 << 21) - 1)
-    n, kinds = F.size("_g"), F.size(F.array_distinct("_g"))
-    df = df.withColumn("_again", n > kinds)
-    df = df.withColumn("_p", F.when(F.col("_again"), F.sort_array(F.transform("_g", lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))))
-    df = df.withColumn("_packs", (n <= 1 << 21) & (F.size(F.array_distinct(F.transform("_p", lambda x: x.bitwiseAND(high)))) == kinds))
+    n, kinds = F.size(f"{p}g"), F.size(F.array_distinct(f"{p}g"))
+    df = df.withColumn(f"{p}again", n > kinds)
+    df = df.withColumn(f"{p}p", F.when(F.col(f"{p}again"), F.sort_array(F.transform(f"{p}g", lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))))
+    df = df.withColumn(f"{p}packs", (n <= 1 << 21) & (F.size(F.array_distinct(F.transform(f"{p}p", lambda x: x.bitwiseAND(high)))) == kinds))
     near = F.filter(
-        F.sequence(F.lit(0), F.size("_p") - 2),
-        lambda k: F.get("_p", k).bitwiseXOR(F.get("_p", k + 1)).between(F.lit(0), low),
+        F.sequence(F.lit(0), F.size(f"{p}p") - 2),
+        lambda k: F.get(f"{p}p", k).bitwiseXOR(F.get(f"{p}p", k + 1)).between(F.lit(0), low),
     )
-    packed = F.flatten(F.transform(near, lambda k: F.array(F.get("_p", k).bitwiseAND(low), F.get("_p", k + 1).bitwiseAND(low))))
-    pairs = F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
-    df = df.withColumn("_q", F.when(F.col("_again") & ~F.col("_packs"), pairs))
+    packed = F.flatten(F.transform(near, lambda k: F.array(F.get(f"{p}p", k).bitwiseAND(low), F.get(f"{p}p", k + 1).bitwiseAND(low))))
+    pairs = F.array_sort(F.transform(f"{p}g", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    df = df.withColumn(f"{p}q", F.when(F.col(f"{p}again") & ~F.col(f"{p}packs"), pairs))
     plain = F.flatten(
         F.transform(
-            F.filter(F.sequence(F.lit(0), F.size("_q") - 2), lambda k: F.get("_q", k)["h"] == F.get("_q", k + 1)["h"]),
-            lambda k: F.array(F.get("_q", k)["i"], F.get("_q", k + 1)["i"]),
+            F.filter(F.sequence(F.lit(0), F.size(f"{p}q") - 2), lambda k: F.get(f"{p}q", k)["h"] == F.get(f"{p}q", k + 1)["h"]),
+            lambda k: F.array(F.get(f"{p}q", k)["i"], F.get(f"{p}q", k + 1)["i"]),
         )
     )
-    found = F.when(~F.col("_again"), F.array().cast("array<bigint>")).when(F.col("_packs"), packed).otherwise(plain)
-    return df.withColumn("_s", F.sort_array(F.array_distinct(found)))
+    found = F.when(~F.col(f"{p}again"), F.array().cast("array<bigint>")).when(F.col(f"{p}packs"), packed).otherwise(plain)
+    return df.withColumn(f"{p}s", F.sort_array(F.array_distinct(found)))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words added (null text: none).
 
-    ``docs`` must have no columns whose names begin with an underscore but ``text``.
+    Columns of ``docs`` with these names are replaced, all others kept.
     """
-    out = docs.withColumn("_body", whole_text(text))
-    spaced = F.col("_body")
+    p = "_"  # no column's name begins with it
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    out = docs.withColumn(f"{p}body", whole_text(text))
+    spaced = F.col(f"{p}body")
     for c in SPACES[1:]:
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    out = out.withColumn("_w", F.array_remove(F.split(spaced, " ", -1), ""))
-    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    out = out.withColumn("_g", F.when(F.size("_w") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
-    out = _starts(out)
+    out = out.withColumn(f"{p}w", F.array_remove(F.split(spaced, " ", -1), ""))
+    windows = F.transform(F.sequence(F.lit(0), F.size(f"{p}w") - 3), lambda i: F.xxhash64(F.get(f"{p}w", i), F.get(f"{p}w", i + 1), F.get(f"{p}w", i + 2)))
+    out = out.withColumn(f"{p}g", F.when(F.size(f"{p}w") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    out = _starts(out, p)
     # each start adds three words less what the start before it has covered
-    prior = F.concat(F.array(F.lit(-3).cast("long")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
-    covered = F.aggregate(F.zip_with("_s", prior, lambda s, q: F.least(s - q, F.lit(3))), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    out = out.withColumn("_ls", F.filter(F.split("_body", "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
+    prior = F.concat(F.array(F.lit(-3).cast("long")), F.slice(f"{p}s", 1, F.greatest(F.size(f"{p}s") - 1, F.lit(0))))
+    covered = F.aggregate(F.zip_with(f"{p}s", prior, lambda s, q: F.least(s - q, F.lit(3))), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    out = out.withColumn(f"{p}ls", F.filter(F.split(f"{p}body", "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
     return out.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(_cleared(F.col("_body"), SPACES)).cast("long"),
-            "n_symbols": (F.octet_length("_body") - F.octet_length(_cleared(F.col("_body"), SYMBOLS))).cast("long"),
-            "n_dup_lines": (F.size("_ls") - F.size(F.array_distinct("_ls"))).cast("long"),
-            "n_repeat_words": F.when(F.size("_s") > 0, covered).otherwise(F.lit(0)).cast("long"),
+            "n_words": F.size(f"{p}w").cast("long"),
+            "word_chars": F.length(_cleared(F.col(f"{p}body"), SPACES)).cast("long"),
+            "n_symbols": (F.octet_length(f"{p}body") - F.octet_length(_cleared(F.col(f"{p}body"), SYMBOLS))).cast("long"),
+            "n_dup_lines": (F.size(f"{p}ls") - F.size(F.array_distinct(f"{p}ls"))).cast("long"),
+            "n_repeat_words": F.when(F.size(f"{p}s") > 0, covered).otherwise(F.lit(0)).cast("long"),
         }
-    ).drop("_w", "_g", "_ls", "_body", "_s", "_p", "_q", "_again", "_packs")
+    ).drop(f"{p}w", f"{p}g", f"{p}ls", f"{p}body", f"{p}s", f"{p}p", f"{p}q", f"{p}again", f"{p}packs")
 
 
 def base_failed() -> Column:
@@ -121,13 +126,10 @@ def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def cutoffs(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per group: its size and [low, high] of every rule, from the sketches' quartiles.
-
-    The table has a row per language and source; those of small groups come from all rows together.
-    """
+    """One row per group: [low, high] of every rule, from the sketches' quartiles and those of all groups together."""
     width = math.log((1 + ACCURACY) / (1 - ACCURACY))
 
-    def fences(counted: DataFrame, by: list[str]) -> DataFrame:
+    def quartiles(counted: DataFrame, by: list[str]) -> DataFrame:
         run = Window.partitionBy(*by, "rule").orderBy("bucket")
         whole = Window.partitionBy(*by, "rule")
         ranked = counted.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(whole)})
@@ -136,17 +138,16 @@ def cutoffs(sketch: DataFrame, groups: list[str]) -> DataFrame:
             # the first bucket that reaches the quantile's rank; its middle, in logarithms
             return (F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("bucket"))) + 0.5) * width
 
-        quart = ranked.groupBy(*by, "rule").agg(F.max("total").alias("total"), quantile(0.25).alias("lo"), quantile(0.75).alias("hi"))
-        reach = F.greatest(F.lit(FENCE) * (F.col("hi") - F.col("lo")), F.lit(math.log(LEAST_FACTOR)))
-        cut = quart.select(*by, "rule", "total", (F.col("lo") - reach).alias("low"), (F.col("hi") + reach).alias("high"))
-        return cut
-
-    own = fences(sketch, groups)
-    merged = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1))
-    every = fences(merged, ["_all"]).select(F.col("rule").alias("_rule"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    small = F.col("total") < LEAST_GROUP
-    joined = own.join(every, F.col("rule") == F.col("_rule"))
-    joined = joined.withColumns({"low": F.when(small, F.col("_low")).otherwise(F.col("low")), "high": F.when(small, F.col("_high")).otherwise(F.col("high"))})
+        return ranked.groupBy(*by, "rule").agg(F.max("total").alias("total"), quantile(0.25).alias("lo"), quantile(0.75).alias("hi"))
+
+    own = quartiles(sketch, groups)
+    merged = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    every = quartiles(merged, []).select(F.col("rule").alias("_rule"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    joined = own.join(F.broadcast(every), F.col("rule") == F.col("_rule"))  # a row for each rule
+    drawn = lambda q: (F.col("total") * F.col(q) + F.lit(PRIOR_ROWS) * F.col(f"_{q}")) / (F.col("total") + F.lit(PRIOR_ROWS))
+    joined = joined.withColumns({"lo": drawn("lo"), "hi": drawn("hi")})
+    reach = F.greatest(F.lit(FENCE) * (F.col("hi") - F.col("lo")), F.lit(math.log(LEAST_FACTOR)))
+    joined = joined.withColumns({"low": F.col("lo") - reach, "high": F.col("hi") + reach})
     aggs = [F.max(F.when(F.col("rule") == r, F.struct("low", "high"))).alias(f"_cut_{r}") for r in RULES]
     return joined.groupBy(*groups).agg(*aggs)
 
@@ -163,8 +164,9 @@ def judge(docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang"
     flat = docs.select("doc_id", F.col(text).alias("_text"), *(F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(k) for g, k in zip(groups, keys, strict=True)))
     columns = ["doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     measured = written(measures(flat, "_text").select(*columns), "measures")
-    cuts = cutoffs(sketches(measured, keys), keys)
-    cuts = cuts.select(*(F.col(k).alias(f"{k}_") for k in keys), *(f"_cut_{r}" for r in RULES))
+    cuts = cutoffs(written(sketches(measured, keys), "sketches"), keys)
+    # A row a group. Written, so that its size is known: Spark broadcasts it where it is small, and the measures stay where they are.
+    cuts = written(cuts.select(*(F.col(k).alias(f"{k}_") for k in keys), *(f"_cut_{r}" for r in RULES)), "cutoffs")
     on = None
     for k in keys:
         on = (F.col(k) == F.col(f"{k}_")) if on is None else on & (F.col(k) == F.col(f"{k}_"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import drop_exact, mark_exact
 from tessera.llm.line_dedup import mark_lines
-from tessera.llm.quality import judge
+from tessera.llm.quality import judge, measures
 from tessera.llm.sharding import shard_documents
 
 WS = " \t\n\x0b\x0c\r"
@@ -111,6 +111,30 @@ def test_quality_drops_outliers_of_their_group(spark):
     assert [r.doc_id for r in judge(df).filter("not kept").collect()] == [900]
 
 
+def test_quality_leans_on_own_rows_as_they_grow(spark):
+    """A group whose words are long: the more rows it has, the longer a word that it keeps."""
+
+    def text(i, size):
+        return " ".join(f"{'z' * size}{(i * 7 + j * j) % 89:02d}" for j in range(60))
+
+    def kept(n):
+        rows = [(i, text(i, 3), "en", "a") for i in range(400)] + [(1000 + i, text(i, 12), "en", "b") for i in range(n)]
+        odd = [(5000 + size, text(size, size), "en", "b") for size in (30, 36, 42)]
+        df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string, source string")
+        return {r.doc_id: r.kept for r in judge(df).filter("doc_id >= 1000").collect()}
+
+    few, some, many = kept(3), kept(12), kept(300)
+    assert [sum(x[5000 + size] for size in (30, 36, 42)) for x in (few, some, many)] == sorted(sum(x[5000 + size] for size in (30, 36, 42)) for x in (few, some, many))
+    assert not few[5036] and many[5036] and not many[5042]
+    assert all(many[1000 + i] for i in range(300)) and all(some[1000 + i] for i in range(12))
+
+
+def test_measures_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c a b c", 5, "x", 7, 9)], "doc_id int, text string, _body int, _w string, __g int, n_words int")
+    row = measures(df).first().asDict()
+    assert (row["_body"], row["_w"], row["__g"], row["n_words"], row["n_repeat_words"]) == (5, "x", 7, 6, 6)
+
+
 def test_empty(empty):
     for f in (mark_exact, drop_exact, mark_lines, judge, lambda df: shard_documents(df, [1.0])):
         assert f(empty).count() == 0
