@@ -17,16 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
+    if root:
         return root
-    return root
+    context = spark.sparkContext
+    jdir = context._jsc.sc().getCheckpointDir()
+    if jdir.isDefined():
+        return jdir.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -37,14 +39,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it again.
 
     Lost executors cost a re-read of files, never a second run of what came before.
-    The files go when the driver ends in order.
+    The files go by ``done``, or else when the driver ends in order.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    system, target = _located(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _located(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` returned, once all that was made of them is written itself."""
+    for df in tables:
+        if path := df.__dict__.get("_scratch"):
+            system, target = _located(df.sparkSession, path)
+            system.delete(target, True)
+            system.cancelDeleteOnExit(target)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import done, written
 
 
 def _least(edges: DataFrame, tag: str) -> DataFrame:
@@ -20,14 +20,19 @@ def _least(edges: DataFrame, tag: str) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.join(_least(both, "least"), "u")
-    return written(near.filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    least = _least(both, "least")
+    near = both.join(least, "u")
+    out = written(near.filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    done(least, edges)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     least = _least(edges, "least")
     near = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return written(near.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    out = written(near.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+    done(least, edges)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:

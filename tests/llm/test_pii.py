@@ -1,6 +1,10 @@
 """Base spans against Python's re, the bootstrap on planted contexts, redaction."""
 
+import random
 import re
+import time
+from collections import defaultdict
+from math import log2
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,5 +116,184 @@ def test_redaction_is_by_row(spark):
     assert got == sorted(want)
 
 
+def test_long_texts_take_linear_time(spark):
+    """A megabyte of emails, of numbers, of both mixed, without spaces, and of groups of digits that a letter ends."""
+    rng = random.Random(6)
+    mails = [f"u{i}@x{i % 97}.example.com" for i in range(45_000)]
+    mixed = [(f"10.0.{i % 256}.{i % 200}", f" n{i}x ", "4111111111111111", " y ") for i in range(26_000)]
+    texts = [
+        " ".join(mails), " ".join(str(rng.randrange(10**6)) for _ in range(150_000)), "".join(x for m in mixed for x in m),
+        "x1" * 500_000, "12 " * 330_000 + "9x", "e9 +1 (555) 010 9999 tel:" * 40_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: r.s for r in pii.mark_pii(df).select("doc_id", pii.joined("base").alias("s")).collect()}
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert time.perf_counter() - began < 150
+    assert got[1] == got[3] == got[4] == "" and red[3] == texts[3]
+    assert len(got[0].split(",")) == 45_000 and red[0] == "<EMAIL> " * 44_999 + "<EMAIL>"
+    at, want = 0, []
+    for m in mixed:
+        for x, kind in zip(m, ("ip", "", "card", ""), strict=True):
+            want += [f"{kind}:{at}:{at + len(x)}"] if kind else []
+            at += len(x)
+    assert got[2] == ",".join(want) and red[2] == "".join(f"<IP> n{i}x <CARD> y " for i in range(26_000))
+    assert got[5] == ",".join(f"phone:{25 * i + 3}:{25 * i + 20}" for i in range(40_000)) and red[5] == "e9 <PHONE> tel:" * 40_000
+
+
+BLANK = "[\x20\x09-\x0D]"
+
+
+def plain_contexts(text, a, b, before, after):
+    """(place, context) of a span, by plain string handling. ``before`` and ``after``: where its sides end."""
+    low = lambda x: re.sub("[0-9]+", "0", x).lower()
+    left = "\n".join(" ".join((text[before:a]).split(" ")[-6:]).split("\n")[-6:])
+    right = "\n".join(" ".join((text[b:after]).split(" ")[:6]).split("\n")[:6])
+    left, right = re.sub(r"[(<\[\"']+$", "", low(left)), re.sub(r"^[)>\]\"'.,;:!?]+", "", low(right))
+    lw, rw = ([w for w in re.split(f"{BLANK}+", x) if w] for x in (left, right))
+    label = re.search(r"(?:^|(?<=[(<\[\"']))([a-z_-]{2,}[=:])$", lw[-1]) if lw and not re.search(f"{BLANK}$", left) else None
+    out = {("front", label[1] if label else " ".join(lw[-2:])), ("behind", " ".join(rw[:2]))}
+    if lw and rw:
+        out.add(("around", f"{lw[-1]} | {rw[0]}"))
+    return {x for x in out if x[1]}
+
+
+def plain_can(kind, v):
+    n = len(re.sub("[^0-9]", "", v))
+    if kind == "email":
+        return bool(re.search(r"(?i)^[a-z0-9._%+-]+(?:@|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)[a-z0-9-]", v))
+    if kind == "ip":
+        form = r"^(?:[0-9]{1,3}(?:[\[({]?(?:\.|dot)[\])}]?[0-9]{1,3}){3}(?:[:/][0-9]+)?|(?=.*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})$"
+        return not re.search(r"^[0-9]+(?:\.[0-9]+){3}$", v) and bool(re.search(form, v)) and not re.search("^[0-9]{1,2}:[0-9]{2}:[0-9]{2}$", v)
+    form = re.search(r"^[(+]*[0-9][0-9\s().+/-]*$", v) and not re.search(r"^(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})$", v)
+    if kind == "card":
+        return bool(form) and (n in (12, 13) or 14 <= n <= 19 and luhn(re.sub("[^0-9]", "", v)))
+    return bool(form) and 7 <= n <= 15 and not re.search(r"^[0-9]+\.[0-9]+$|^[0-9]+(?:\.[0-9]+){3}$", v)
+
+
+def plain_bootstrap(rows):
+    """All spans by the method, with dictionaries: rows are (id, text)."""
+    seeds, free = [], []  # (id, span, value, contexts, kind or what it can be)
+    for d, text in rows:
+        base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in plain(text))]
+
+        def sides(spans, i, end=len(text)):
+            # the sides end at the second span before and the second behind
+            return spans[i - 2][1] if i > 1 else 0, spans[i + 2][0] if i + 2 < len(spans) else end
+
+        for kind in KINDS:
+            all_ = [m.span() for m in re.finditer(PLAIN[kind], text)]
+            for i, (a, b) in enumerate(all_):
+                if (kind, a, b) in base:
+                    seeds.append((d, (a, b), text[a:b], plain_contexts(text, a, b, *sides(all_, i)), kind))
+        all_ = [m.span() for m in re.finditer(pii.CANDIDATE, text)]
+        for i, (a, b) in enumerate(all_):
+            key = re.match(r"((?:[<\[\"']|\((?![0-9]+\)))*(?:[A-Za-z_-]{2,}[=:][\"']?(?![=:]|$))?)", text[a:b])[1]
+            c = a + len(key)
+            e = c + len(re.sub("[\"'.,;:!?)]+$", "", text[c:b]))
+            if e - c >= 4 and not any(x < e and y > c for _, x, y in base):
+                free.append((d, (c, e), text[c:e], plain_contexts(text, c, e, *sides(all_, i)), {k for k in KINDS if plain_can(k, text[c:e])}))
+    edges, can = defaultdict(set), {}
+    for _, _, v, contexts, _ in [*seeds, *free]:
+        for c in contexts:
+            edges[c].add(v)
+    known = {}
+    for _, _, v, _, kind in seeds:
+        known[v] = min(kind, known.get(v, kind))
+    seeded = set(known)
+    for _, _, v, _, kinds in free:
+        can[v] = kinds
+    weight = pii.PLACES
+    while True:
+        patterns, votes = {}, defaultdict(lambda: defaultdict(list))
+        for c, values in edges.items():
+            best = max(
+                (sum(known.get(v) == k for v in values), -sum(known[v] != k if v in known else k not in can.get(v, set()) for v in values), k) for k in KINDS
+            )
+            f, against, kind = best
+            if f >= pii.LEAST_SUPPORT and f / (f - against) >= pii.LEAST_CONFIDENCE:
+                patterns[c] = (kind, f / (f - against) * weight[c[0]], f / (f - against) * log2(f))
+        for c, (kind, confidence, rlogf) in patterns.items():
+            for v in edges[c]:
+                if v not in known and kind in can.get(v, set()):
+                    votes[v][kind].append((confidence, rlogf))
+        new = {}
+        for v, kinds in votes.items():
+            good = []
+            for kind, ps in kinds.items():
+                miss = 1.0
+                for confidence, _ in ps:
+                    miss *= max(1 - confidence, 1e-6)
+                if 1 - miss >= pii.LEAST_SCORE:
+                    good.append((sum(r for _, r in ps), 1 - miss, kind))
+            if good:
+                new[v] = max(good)[2]
+        if not new:
+            break
+        known |= new
+    spans = {d: {(int(a), KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in plain(t))} for d, t in rows}
+    for d, (a, b), v, contexts, _ in free:
+        if v not in seeded and v in known and any(patterns.get(c, ("",))[0] == known[v] for c in contexts):
+            spans[d].add((a, KINDS.index(known[v]), b))
+    return {d: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(s)) for d, s in spans.items()}
+
+
+def planted(n=120, seed=8):
+    """Rows of four kinds in several contexts, seeds and disguised identifiers mixed, among numbers that are none: (id, text, unseen values)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(3, 8)))
+    prose = lambda: " ".join(word() for _ in range(rng.randrange(4, 14)))
+    digits = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+
+    def card():
+        while True:
+            c = digits(16)
+            if luhn(c):
+                return c
+
+    seen = {
+        "phone": lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", "email": lambda: f"{word()}{digits(2)}@{word()}.example.com",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), "card": card,
+    }
+    unseen = {
+        "phone": lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", digits(10)]),
+        "email": lambda: rng.choice([f"{word()} at {word()} dot com", f"{word()}[at]{word()}.org", f"{word()}@localhost"]),
+        "ip": lambda: rng.choice([f"{rng.randrange(1, 255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}[.]7", f"2001:db8:{digits(3)}:ff::{digits(2)}"]),
+        "card": lambda: digits(12),
+    }
+    frames = {
+        "phone": ["ring me on {} any day", "her mobile tel: {} works", "tel:{} please"], "email": ["then write to {} at once", "contact=\"{}\" in the form"],
+        "ip": ["the host at {} went down", "source addr={} port open"], "card": ["paid with visa {} last week", "card no {} was refused"],
+    }
+    rows = []
+    for i in range(n * 4):
+        kind = KINDS[i % 4]
+        v = (unseen if rng.random() < 0.3 else seen)[kind]()
+        rows.append((i, f"{prose()} {rng.choice(frames[kind]).format(v)} {prose()}", None if plain(v) else (kind, v)))
+    for i in range(n):  # numbers and the like that are no identifiers
+        v = rng.choice([f"{digits(2)}.{digits(2)}", digits(9), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}:{digits(2)}:{digits(2)}", digits(5)])
+        rows.append((10_000 + i, f"{prose()} {rng.choice(['chapter', 'it came to', 'order', 'in the year'])} {v} {prose()}", None))
+    return rows
+
+
+def test_bootstrap_by_plain_dictionaries_recall_and_precision(spark):
+    rows = planted()
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r.s for r in pii.mark_pii(df).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    assert got == plain_bootstrap([(d, t) for d, t, _ in rows])
+    wanted = [(d, f"{u[0]}:{t.index(u[1])}:{t.index(u[1]) + len(u[1])}") for d, t, u in rows if u]
+    added = [(d, s) for d, t, _ in rows for s in got[d].split(",") if s and s not in plain(t)]
+    right = set(wanted) & set(added)
+    assert len(wanted) > 100 and len(right) / len(wanted) >= 0.9, sorted(set(wanted) - right)[:9]
+    assert len(right) / len(added) >= 0.95, sorted(set(added) - right)[:9]
+    assert {s.split(":")[0] for _, s in right} == set(KINDS)
+
+
+def test_bootstrap_by_plain_dictionaries_on_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.s for r in pii.mark_pii(df).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    assert got == plain_bootstrap([(r.doc_id, r.text or "") for r in df.collect()])
+
+
 def test_empty(empty):
     assert pii.mark_pii(empty).count() == pii.redact(empty).count() == 0

@@ -69,6 +69,29 @@ def test_exact(table):
     assert Counter(d for d, _ in rows_of(kept)) == Counter(min(g)[2] for g in groups.values())
 
 
+def test_a_full_filter_changes_nothing(monkeypatch, docs):
+    """Few bits for many repeats: more rows are compared, the result is the same."""
+    from tessera.llm import exact_dedup
+
+    twice = docs.union(docs.selectExpr("doc_id + 1000000", "text", "lang", "source", "n_chars"))
+    want = sorted(map(tuple, mark_exact(twice).collect()))
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 64 * exact_dedup.WORDS_IN_BLOCK)
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 64 * exact_dedup.WORDS_IN_BLOCK)
+    monkeypatch.setattr(exact_dedup, "PLACES", 1 << 4)
+    assert sorted(map(tuple, mark_exact(twice).collect())) == want
+    assert drop_exact(twice).count() == drop_exact(docs).count()
+
+
+def test_filter_lets_through_what_repeats(spark):
+    from tessera.llm.exact_dedup import possibly_repeated, repeat_filter
+
+    keys = spark.range(20000).selectExpr("cast(cast(if(id % 10 = 0, id div 20, 1000000 + id) as string) as binary) as k", "id")
+    filter_, bits = repeat_filter(keys, "k")
+    again = {r.id for r in keys.filter(possibly_repeated(F.col("k"), filter_, bits)).collect()}
+    repeats = {i for i in range(20000) if i % 10 == 0}
+    assert repeats <= again and len(again - repeats) < 200
+
+
 def test_lines(table):
     rows = rows_of(table)
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(WS))
