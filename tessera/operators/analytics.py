@@ -9,11 +9,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rank error of the sketches that bracket a quantile, as a share of the rows: one in so many.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``keys``, min, max and a column for each wanted share: exact quantiles with linear interpolation; nulls don't count.
+
+    A mergeable sketch brackets every quantile; only values in the brackets, a
+    small share of a large group, are ranked, and equal ones count before that.
+    Groups of no more than ``ACCURACY`` rows are ranked whole.
+    """
+    reach = 4.0 / ACCURACY  # the sketch's error on either side, and two rows at least
+    edges = [min(1.0, max(0.0, q + s)) for q in wanted.values() for s in (-reach, reach)]
+    sketch = F.percentile_approx(value, F.array(*map(F.lit, edges)), ACCURACY)
+    stats = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.min(value).alias("min"), F.max(value).alias("max"), sketch.alias("_edges"))
+    whole = F.flatten(F.array_repeat(F.array("min", "max"), len(wanted)))
+    of = stats.select(*(F.col(k).alias(f"_{k}") for k in keys), "_n", F.when(F.col("_n") <= ACCURACY, whole).otherwise(F.col("_edges")).alias("_edges"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = df.select(*keys, F.col(value).alias("_v")).filter("_v is not null")
+    rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(of, on).select(*keys, "_n", "_v", "_c", "_edges")
+    # by quantile: how many lie below its bracket (one row a task and key), and each value in it
+    inside = [F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.get("_edges", F.lit(2 * i)), F.col("_v")).alias("v"), F.col("_c").alias("c")) for i in range(len(wanted))]
+    upto = F.filter(F.array(*inside), lambda x: F.col("_v") <= F.get("_edges", 2 * x["i"] + 1))
+    counted = rows.select(*keys, "_n", F.explode(upto).alias("x")).groupBy(*keys, "_n", F.col("x.i").alias("_i"), F.col("x.v").alias("_v")).agg(F.sum("x.c").alias("_c"))
+    by = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    ranked = counted.withColumn("_upto", F.sum("_c").over(by))
+    shares = F.array(*map(F.lit, wanted.values()))
+    place = F.get(shares, F.col("_i")) * (F.col("_n") - 1)
+    at = lambda p: F.min(F.when(F.col("_upto") > p, F.col("_v")))
+    found = ranked.groupBy(*keys, "_i").agg(at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_b"), F.max(place - F.floor(place)).alias("_f"))
+    found = found.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    wide = found.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"_q_{name}") for i, name in enumerate(wanted)))
+    out = stats.join(wide, on, "left")
+    return out.select(*keys, "min", "max", *(F.col(f"_q_{name}").alias(name) for name in wanted))
+
+
 def quantile_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """min, q10, median, q90 and max by ``keys``, quantiles exact with linear interpolation."""
-    q = F.percentile(value, F.lit([0.1, 0.5, 0.9]))
-    out = df.groupBy(*keys).agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return out.select(*keys, "min", *(F.col("_q")[i].alias(n) for i, n in enumerate(("q10", "median", "q90"))), "max")
+    out = quantiles(df, keys, value, {"q10": 0.1, "median": 0.5, "q90": 0.9})
+    return out.select(*keys, "min", "q10", "median", "q90", "max")
 
 
 def means(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -22,9 +59,12 @@ def means(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFram
 
 def statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """avg, med, min, max and stddev, as profilers list them."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("avg"), F.median(value).alias("med"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("stddev")
-    )
+    half = quantiles(df, keys, value, {"med": 0.5}).select(*(F.col(k).alias(f"_{k}") for k in keys), "med", "min", "max")
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("avg"), F.stddev_samp(value).alias("stddev"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return moments.join(half, on).select(*keys, "avg", "med", "min", "max", "stddev")
 
 
 def relative_deviation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -108,11 +148,22 @@ def only_value(df: DataFrame, column: str):
 
 
 def edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: int = 1, last: int = 1) -> DataFrame:
-    """The first and last rows of every group in an explicit order, with their position from each end."""
+    """The first and last rows of every group in an explicit order, with their position from each end.
+
+    Either end is a limit by group, which each task applies to its own rows before anything is sent.
+    """
     up = Window.partitionBy(*keys).orderBy(*order)
     down = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    ranked = df.withColumns({"from_first": F.row_number().over(up), "from_last": F.row_number().over(down)})
-    return ranked.filter((F.col("from_first") <= first) | (F.col("from_last") <= last))
+    sizes = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    names = [*df.columns, "from_first", "from_last"]
+    head = df.withColumn("from_first", F.row_number().over(up)).filter(F.col("from_first") <= first).join(sizes, on)
+    tail = df.withColumn("from_last", F.row_number().over(down)).filter(F.col("from_last") <= last).join(sizes, on)
+    head = head.withColumn("from_last", F.col("_n") - F.col("from_first") + 1).select(*names)
+    tail = tail.withColumn("from_first", F.col("_n") - F.col("from_last") + 1).filter(F.col("from_first") > first).select(*names)
+    return head.unionByName(tail)
 
 
 def without_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

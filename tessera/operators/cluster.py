@@ -1,24 +1,32 @@
 """k-medoids (PAM) and its parts: distances, assignment, cost and swaps.
 
-Points are rows (id, coordinates). Medoids are few and enter as literals. For
-every point the nearest medoid, its slot and the second nearest distance tell
-what any swap costs it, so one pass over pairs of points and candidates prices
-all swaps (Schubert and Rousseeuw 2019). One row per round comes to the driver.
+Points are rows (id, coordinates), of any number of dimensions. Medoids are few
+and enter as literals. For every point the nearest medoid, its slot and the
+second nearest distance tell what any swap costs it, so one pass over pairs of
+points and candidates prices all swaps (Schubert and Rousseeuw 2019). Points
+are packed into blocks once; a task prices a block of candidates against the
+points' blocks with numpy and sends one sum for each candidate and slot. One
+row per round comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import distance
 
-#: Candidates up to this many (coordinates and ids: a few MB) are broadcast; more are joined in blocks by Spark.
-BROADCAST_POINTS = 200_000
-MAX_K = 512
+#: Points whose coordinates and ids take up to so many bytes are broadcast; more are paired in blocks by Spark.
+BROADCAST_BYTES = 64 << 20
+#: Points of a block, at most.
+BLOCK_POINTS = 2048
+#: Distances that a worker holds at once.
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -66,41 +74,106 @@ def total_cost(points: DataFrame, coords: Sequence[str], medoids: Sequence[Seque
     return assign(points, coords, medoids, metric).agg(F.sum("d").alias("cost"))
 
 
-def _near(points: DataFrame, coords: Sequence[str], medoids: Sequence[Sequence[float]], metric: str) -> DataFrame:
-    """Points with d1 and j1, the nearest distance and slot, and d2, the second nearest distance."""
-    pairs = F.array(*(F.struct(d.alias("d"), F.lit(k).alias("slot")) for k, d in enumerate(_distances(points, coords, medoids, metric))))
-    ranked = points.withColumn("_r", F.array_sort(pairs))
-    second = F.coalesce(F.get("_r", F.lit(1))["d"], F.lit(float("inf")))
-    return ranked.withColumns({"d1": F.get("_r", F.lit(0))["d"], "j1": F.get("_r", F.lit(0))["slot"], "d2": second}).drop("_r")
+def _kind(points: DataFrame, coords: Sequence[str]) -> str:
+    """numpy's type for the coordinates: single precision if all columns are float."""
+    return "<f4" if all(points.schema[c].dataType.typeName() == "float" for c in coords) else "<f8"
+
+
+def blocks(points: DataFrame, coords: Sequence[str], id_: str = "id", n: int | None = None) -> DataFrame:
+    """ids, data: points packed into binary blocks (i8 ids, coordinates row by row), dealt out over the tasks."""
+    kind, tasks = _kind(points, coords), max(1, points.sparkSession.sparkContext.defaultParallelism)
+    size = min(BLOCK_POINTS, max(1, -(-(points.count() if n is None else n) // tasks)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            data = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).astype(kind)
+            at = range(0, len(ids), size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[a : a + size].tobytes() for a in at], pa.binary()), pa.array([data[a : a + size].tobytes() for a in at], pa.binary())], names=["ids", "data"]
+            )
+
+    return points.select(F.col(id_).cast("long"), *coords).mapInArrow(pack, "ids binary, data binary").repartition(tasks)
+
+
+def _between(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances, coordinate by coordinate, so that memory is rows x columns whatever the dimensions."""
+    out = np.zeros((len(a), len(b)), a.dtype)
+    for x, y in zip(a.T, b.T, strict=True):
+        diff = x[:, None] - y[None, :]
+        out += diff * diff
+    return np.sqrt(out) if metric == "l2" else out
+
+
+def _prices(medoid_ids: Sequence[int], medoids: Sequence[Sequence[float]], kind: str, metric: str, same_within: float | None):
+    centres = np.array(medoids, kind)
+    k = len(centres)
+
+    def sums(candidates: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """What all points cost if a candidate takes a slot: candidates x slots."""
+        near = _between(points, centres, metric)
+        order = np.argsort(near, 1, kind="stable")
+        every = np.arange(len(points))
+        slot, first = order[:, 0], near[every, order[:, 0]]
+        second = near[every, order[:, 1]] if k > 1 else np.full(len(points), np.inf, near.dtype)
+        out = np.zeros((len(candidates), k))
+        step = max(1, CELLS // max(1, len(candidates)))
+        for at in range(0, len(points), step):
+            d = _between(candidates, points[at : at + step], metric)
+            low = np.minimum(d, first[at : at + step])
+            out += low.sum(1, dtype=float)[:, None]
+            more = np.minimum(d, second[at : at + step]) - low
+            for j in range(k):
+                own = slot[at : at + step] == j
+                if own.any():
+                    out[:, j] += more[:, own].sum(1, dtype=float)
+        return out
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for batch in batches:
+            for ids, data, points in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at, own = np.frombuffer(ids, "<i8"), np.frombuffer(data, kind)
+                own = own.reshape(len(at), -1)
+                if ids != last:
+                    if last is not None:
+                        yield rows(np.frombuffer(last, "<i8"), total, keep)
+                    last, total = ids, 0.0
+                    keep = ~np.isin(at, list(medoid_ids))
+                    if same_within is not None:
+                        for m in centres:
+                            keep &= ~(np.abs(own - m) < same_within).all(1)
+                other = np.frombuffer(points, kind)
+                total = total + sums(own, other.reshape(-1, own.shape[1]))
+        if last is not None:
+            yield rows(np.frombuffer(last, "<i8"), total, keep)
+
+    def rows(ids: np.ndarray, total: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        n = int(keep.sum())
+        columns = [np.repeat(ids[keep], k), np.tile(np.arange(k, dtype=np.int32), n), total[keep].ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point", "slot", "cost"])
+
+    return price
+
+
+def _swap_costs(packed: DataFrame, n: int, d: int, kind: str, medoid_ids, medoids, metric: str, same_within: float | None) -> DataFrame:
+    other = packed.select(F.col("data").alias("points"))
+    if n * (8 + d * np.dtype(kind).itemsize) <= BROADCAST_BYTES:
+        other = F.broadcast(other)
+    each = packed.crossJoin(other).mapInArrow(_prices(medoid_ids, medoids, kind, metric, same_within), "point bigint, slot int, cost double")
+    return each.groupBy("point", "slot").agg(F.sum("cost").alias("cost"))
 
 
 def swap_costs(
     points: DataFrame, coords: Sequence[str], medoid_ids: Sequence[int], medoids: Sequence[Sequence[float]],
     id_: str = "id", metric: str = "l2", n: int | None = None, same_within: float | None = None,
 ) -> DataFrame:
-    """point, slot, cost for every point that is no medoid and every slot that it might take.
+    """point, slot, cost for every point that is no medoid and every slot that it might take. Quadratic by nature.
 
     A point is a medoid by its id or, with ``same_within``, if it differs from one by less than that in every coordinate.
     """
-    k = len(medoids)
-    near = _near(points, coords, medoids, metric).select(*coords, "d1", "j1", "d2")
-    candidates = points.filter(~F.col(id_).isin([int(m) for m in medoid_ids]))
-    if same_within is not None:
-        for m in _literals(points, coords, medoids):
-            alike = F.lit(True)
-            for c, x in zip(coords, m, strict=True):
-                alike = alike & (F.abs(F.col(c) - x) < same_within)
-            candidates = candidates.filter(~alike)
-    candidates = candidates.select(F.col(id_).alias("point"), *(F.col(c).alias(f"c_{c}") for c in coords))
-    if (points.count() if n is None else n) <= BROADCAST_POINTS:
-        candidates = F.broadcast(candidates)
-    pairs = near.crossJoin(candidates).select(
-        "point", "d1", "j1", "d2", distance([F.col(c) for c in coords], [F.col(f"c_{c}") for c in coords], metric).alias("d")
-    )
-    sums = [F.sum(F.least("d", F.when(F.col("j1") == s, F.col("d2")).otherwise(F.col("d1")))).alias(f"s{s}") for s in range(k)]
-    wide = pairs.groupBy("point").agg(*sums)
-    each = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"s{s}").alias("cost")) for s in range(k)))
-    return wide.select("point", F.explode(each).alias("s")).select("point", "s.slot", "s.cost")
+    n = points.count() if n is None else n
+    return _swap_costs(blocks(points, coords, id_, n), n, len(coords), _kind(points, coords), medoid_ids, medoids, metric, same_within)
 
 
 def best_swap(costs: DataFrame) -> DataFrame:
@@ -124,10 +197,12 @@ def k_medoids(
     if initial_cost not in ("max", "computed"):
         raise ValueError("initial_cost is max or computed")
     points = points.select(id_, *coords).cache()
+    packed = None
     try:
-        n = points.count()
-        if not 1 <= k <= min(n, MAX_K):
-            raise ValueError(f"k must be 1 to {min(n, MAX_K)}")
+        n, kind = points.count(), _kind(points, coords)
+        if not 1 <= k <= n:
+            raise ValueError(f"k must be 1 to {n}")
+        packed = blocks(points, coords, id_, n).cache()
         first = points.orderBy(id_).limit(k).collect()
         at = {r[id_]: [r[c] for c in coords] for r in first}
         medoids = [r[id_] for r in first]
@@ -137,7 +212,7 @@ def k_medoids(
         if k == n:
             return Clustering(tuple(medoids), cost, 1)
         for rounds in range(1, max_iter + 1):
-            costs = swap_costs(points, coords, medoids, [at[m] for m in medoids], id_, metric, n, same_within)
+            costs = _swap_costs(packed, n, len(coords), kind, medoids, [at[m] for m in medoids], metric, same_within)
             best = best_swap(costs).first()
             if best.cost is None:  # no candidates
                 return Clustering(tuple(medoids), cost, rounds)
@@ -150,6 +225,37 @@ def k_medoids(
         raise RuntimeError(f"no end after {max_iter} rounds")
     finally:
         points.unpersist()
+        if packed is not None:
+            packed.unpersist()
+
+
+def k_medoids_by_matrix(matrix: DataFrame, k: int, max_iter: int = 1000) -> Clustering:
+    """PAM over a stored distance matrix i, j, d of all ordered pairs, from the first k points by id.
+
+    Each round reads the medoids' columns for the two nearest distances of
+    every point, then all of the matrix for the swaps' costs.
+    """
+    medoids = [r.i for r in matrix.select("i").distinct().orderBy("i").limit(k).collect()]
+    if len(medoids) < k or k < 1:
+        raise ValueError(f"k must be 1 to {len(medoids)}")
+    cost = None
+    for rounds in range(1, max_iter + 1):
+        slot = F.array_position(F.array(*(F.lit(m).cast("long") for m in medoids)), F.col("j")) - 1
+        pairs = F.array_sort(F.collect_list(F.struct("d", slot.cast("int").alias("slot"))))  # k for each point
+        near = matrix.filter(F.col("j").isin(medoids)).groupBy("i").agg(pairs.alias("r"))
+        second = F.coalesce(F.get("r", F.lit(1))["d"], F.lit(float("inf")))
+        near = near.select("i", F.get("r", F.lit(0))["d"].alias("d1"), F.get("r", F.lit(0))["slot"].alias("j1"), second.alias("d2"))
+        rows = matrix.filter(~F.col("j").isin(medoids)).join(near, "i")
+        base, more = F.sum(F.least("d", "d1")), F.least("d", "d2") - F.least("d", "d1")
+        gains = [F.sum(F.when(F.col("j1") == s, more).otherwise(0.0)).alias(f"s{s}") for s in range(k)]
+        wide = rows.groupBy(F.col("j").alias("point")).agg(base.alias("base"), *gains)
+        each = F.array(*(F.struct(F.lit(s).alias("slot"), (F.col("base") + F.col(f"s{s}")).alias("cost")) for s in range(k)))
+        best = best_swap(wide.select("point", F.explode(each).alias("s")).select("point", "s.slot", "s.cost")).first()
+        if best.cost is None or (cost is not None and best.cost >= cost):
+            return Clustering(tuple(medoids), cost, rounds)
+        cost = best.cost
+        medoids[best.slot] = best.point
+    raise RuntimeError(f"no end after {max_iter} rounds")
 
 
 def medoid_rows(points: DataFrame, coords: Sequence[str], found: Clustering, id_: str = "id") -> DataFrame:

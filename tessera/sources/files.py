@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def csv_points(spark: SparkSession, path: str, d: int, kind: str = "double") -> DataFrame:
     """id, x0..: a headerless CSV of numbers, any bad cell an error; id is the row's place in order of files.
 
-    Positions come from counting rows by partition, as zipWithIndex does.
+    A split's rows follow each other, so a row's place is that of its split's
+    first row and its distance from it: one row a split tells the former.
     """
-    schema = ", ".join(f"x{j} {kind}" for j in range(d))
-    rows = spark.read.csv(path, schema=schema, header=False, mode="FAILFAST")
-    indexed = rows.rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
-    return spark.createDataFrame(indexed, f"id bigint, {schema}")
+    names = [f"x{j}" for j in range(d)]
+    rows = spark.read.csv(path, schema=", ".join(f"{x} {kind}" for x in names), header=False, mode="FAILFAST")
+    rows = rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    splits = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_file", "_start", "_first", before.alias("_before"))
+    placed = rows.join(splits, ["_file", "_start"])
+    return placed.select((F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("id"), *names)
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -78,15 +89,24 @@ def images(spark: SparkSession, path: str, suffix: str = ".jpg") -> DataFrame:
     return rows.select(name.alias("img"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
+#: Pixels of an output batch.
+PIXEL_ROWS = 1 << 16
+
+
 def pixels(decoded: DataFrame) -> DataFrame:
-    """img, y, x, c, p with c in RGB order, from ``images``."""
-    spread = decoded.select("img", "width", "channels", F.posexplode(F.expr("regexp_extract_all(hex(data), '..', 0)")).alias("at", "h"))
-    channels = F.col("channels")
-    cell, k = F.floor(F.col("at") / channels), F.col("at") % channels
-    return spread.select(
-        "img",
-        F.floor(cell / F.col("width")).cast("int").alias("y"),
-        (cell % F.col("width")).cast("int").alias("x"),
-        F.when(channels == 3, 2 - k).otherwise(k).cast("int").alias("c"),
-        F.conv("h", 16, 10).cast("smallint").alias("p"),
-    )
+    """img, y, x, c, p with c in RGB order, from ``images``; rows come in blocks cut from an image's bytes."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, width, channels, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                values = np.frombuffer(data, np.uint8)
+                for a in range(0, len(values), PIXEL_ROWS):
+                    at = np.arange(a, min(a + PIXEL_ROWS, len(values)))
+                    cell, k = at // channels, at % channels
+                    columns = [
+                        pa.array([img] * len(at), pa.string()), pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32)),
+                        pa.array((2 - k if channels == 3 else k).astype(np.int32)), pa.array(values[at].astype(np.int16)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["img", "y", "x", "c", "p"])
+
+    return decoded.select("img", "width", "channels", "data").mapInArrow(spread, "img string, y int, x int, c int, p smallint")

@@ -27,14 +27,15 @@ def records_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def measurement_json(df: DataFrame, path: str) -> None:
-    """Measurement objects, one a line, times with 7 decimals."""
+def measurement_json(df: DataFrame, path: str, one_a_file: bool = False) -> None:
+    """Measurement objects, one a line (or one a file, as the source reads them), times with 7 decimals."""
     times = ("timesTransferToDevice", "timesExecution", "timesTransferFromDevice")
     rounded = F.transform_values(
         "measurements",
         lambda _, m: F.struct(*(F.transform(m[t], lambda v: F.round(v, 7)).alias(t) for t in times), m["bins"].alias("bins")),
     )
-    df.withColumn("measurements", rounded).write.mode("overwrite").json(path)
+    writer = df.withColumn("measurements", rounded).write.mode("overwrite")
+    (writer.option("maxRecordsPerFile", 1) if one_a_file else writer).json(path)
 
 
 def report_text(lines: DataFrame, column: str, path: str) -> None:

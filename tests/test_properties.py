@@ -150,6 +150,55 @@ def test_quantiles(spark, rows):
         assert [r.q10, r.median, r.q90] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.9]).tolist())
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_of_large_groups(spark, monkeypatch, accuracy):
+    """Brackets are narrow, values repeat, groups are of all sizes, keys and values may be null."""
+    monkeypatch.setattr(analytics, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    rows = [(k, float(rng.choice([rng.randrange(5), rng.randrange(10**6)]))) for k, n in (("a", 3000), ("b", 21), ("c", 2), ("d", 1), (None, 50)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("a", None), ("e", None)], "k string, v double").repartition(3)
+    got = {r.k: r for r in analytics.quantile_summary(df, ["k"], "v").collect()}
+    assert set(got) == {"a", "b", "c", "d", "e", None} and got["e"].median is None
+    for k in set(got) - {"e"}:
+        v = [x for g, x in rows if g == k]
+        assert [got[k].q10, got[k].median, got[k].q90] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.9]).tolist())
+
+
+def test_edges_of_groups(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 9), ("b", 2), (None, 1)) for i in range(n)], "k string, v int")
+    got = sorted((r.k or "", r.v, r.from_first, r.from_last) for r in analytics.edges(df, ["k"], ["v"], 2, 3).collect())
+    assert got == sorted([("a", 0, 1, 9), ("a", 1, 2, 8), ("a", 6, 7, 3), ("a", 7, 8, 2), ("a", 8, 9, 1), ("b", 0, 1, 2), ("b", 1, 2, 1), ("", 0, 1, 1)])
+
+
+@pytest.mark.parametrize("d", [1, 5])
+def test_swap_costs_by_plain_loops(spark, monkeypatch, d):
+    """Blocks of any size, broadcast or not, more medoids than a GPU block would take."""
+    rng = np.random.default_rng(d)
+    pts = rng.normal(size=(30, d))
+    coords = [f"c{j}" for j in range(d)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id bigint, " + ", ".join(f"{c} double" for c in coords))
+    for size, most in ((2048, 1 << 26), (4, 0)):
+        monkeypatch.setattr(cluster, "BLOCK_POINTS", size)
+        monkeypatch.setattr(cluster, "BROADCAST_BYTES", most)
+        for m in ([0], [3, 9, 1]):
+            got = {(r.point, r.slot): r.cost for r in cluster.swap_costs(df, coords, m, pts[m].tolist()).collect()}
+            assert set(got) == {(c, s) for c in range(30) if c not in m for s in range(len(m))}
+            for (c, s), cost in got.items():
+                now = [*m[:s], c, *m[s + 1 :]]
+                assert cost == pytest.approx(np.sqrt(((pts[:, None] - pts[now][None]) ** 2).sum(2)).min(1).sum())
+    matrix = cluster.distance_matrix(df, coords).cache()
+    by_matrix, by_points = cluster.k_medoids_by_matrix(matrix, 3), cluster.k_medoids(df, coords, 3)
+    assert by_matrix.cost == pytest.approx(by_points.cost)
+    if d > 1:  # on a line, neighbours in the middle of an even group cost the same
+        assert by_matrix.medoids == by_points.medoids
+
+
+def test_many_medoids(spark):
+    df = spark.range(700).selectExpr("id", "cast(id as double) as x")
+    found = cluster.k_medoids(df, ["x"], 600, max_iter=1000, tol=1e-9, initial_cost="computed")
+    assert len(set(found.medoids)) == 600
+
+
 def test_ratios_and_pivots(spark):
     a = spark.createDataFrame([("x", 2.0), ("y", 3.0), (None, 1.0)], "k string, v double")
     b = spark.createDataFrame([("x", 4.0), ("z", 1.0), (None, 0.0)], "k string, v double")
