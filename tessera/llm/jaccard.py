@@ -1,15 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash first, MinHash bands for what it can't reach.
 
-64-bit fingerprints are too short for a similarity of 0.8: such texts differ
-in about 10 bits, and a radius that finds nearly all of them holds a share of
-all pairs. MinHash bands find candidates instead: with ``BANDS`` bands of
+Rows with equal shingle sets are one node. The nodes' SimHash fingerprints are
+linked by the generalised pigeonhole search of ``simhash``, which joins close
+copies, large groups of them above all. Texts at a similarity of 0.8 differ in
+about 10 of 64 bits, though, and a search of that radius meets a share of all
+pairs; so MinHash bands complete the candidates: with ``BANDS`` bands of
 ``ROWS`` values a pair at 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS,
-3e-6. Every candidate is verified on its shingle sets before it is a link, and
-connected components of the links are the groups.
-
-Rows with equal shingle sets are one node. Members of a bucket that are linked
-already need no further test, so a large group of near copies costs a few
-rounds of tests against one leader, not all its pairs.
+3e-6. Members of a bucket that are linked already need no further test, and
+pairs whose fingerprints are far apart none at all. Every candidate is verified
+on its shingle sets before it is a link; connected components of the links are
+the groups.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, whole_text, written
+from . import simhash
+from .common import done, fresh, small_batches, whole_text, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Of a pair at 0.8 about 9.7 bits of 64 differ, with a deviation of 2.9: more than this with probability 1e-7.
+MOST_BITS = 25
 #: All pairs of a bucket are tested where they number at most so many for each member; else leaders first, so many rounds at most.
 PAIRS_A_MEMBER, LEADER_ROUNDS = 8, 6
 _CHUNK = 2048
@@ -73,20 +76,29 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of hashes; zero for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(s), _CHUNK):
+        ones += np.unpackbits(s[a : a + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(s)].sum(dtype=np.uint64))
+
+
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """rid, doc_id, node (a hash of the row's set), its size n and its bands."""
+    """rid, doc_id, node (a hash of the row's set), its size n, fingerprint and bands."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
+            fps = pa.array(np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64))
             keys = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             cut = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             lists = pa.ListArray.from_arrays(cut, pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([len(s) for s in sets], pa.int64()), lists], names=["rid", "doc_id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([len(s) for s in sets], pa.int64()), fps, lists], names=["rid", "doc_id", "node", "n", "fp", "bands"])
 
-    return rows.mapInArrow(run, "rid bigint, doc_id bigint, node bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "rid bigint, doc_id bigint, node bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -103,60 +115,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """u, v: nodes whose fingerprints are linked at 3 or fewer bits, by links that span their groups."""
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    ends = [reps.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_")) for x in "uv"]
+    across = simhash.links(reps.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
+    same = nodes.join(reps, "fp").filter("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    out = written(_ordered(across.unionAll(same), "u", "v"), "close")
+    done(reps)
+    return out
+
+
+def _ordered(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    return pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+
+
 def links(sketches: DataFrame, rows: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """u, v: verified links between nodes that span all groups of candidates linked at ``least`` or more."""
-    nodes = written(sketches.groupBy("node").agg(F.min("rid").alias("rid")), "nodes")
-    keyed = sketches.join(nodes.select("rid"), "rid", "left_semi").select("node", "n", F.explode("bands").alias("key"))
+    nodes = written(sketches.groupBy("node").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    close = _close(nodes)
+    keyed = sketches.join(nodes.select("rid"), "rid", "left_semi").select("node", "n", "fp", F.explode("bands").alias("key"))
     keyed = written(keyed, "keyed")
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("key"), "shared")
     members = written(keyed.join(shared, "key"), "members")
+    done(keyed, shared)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    wanted = written(nodes.join(members.select("node").distinct(), "node").select(F.col("rid").alias("_of"), "node"), "wanted")
+    used = members.select("node").unionAll(close.select("u")).unionAll(close.select("v")).distinct()
+    wanted = written(nodes.join(used, "node").select(F.col("rid").alias("_of"), "node"), "wanted")
     sets = written(rows.join(wanted, F.col("rid") == F.col("_of")).select("node", "text").mapInArrow(as_sets, "node bigint, set binary"), "sets")
-    found = written(members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), "found")
-    fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
+    done(nodes, wanted)
+
+    new = written(_verified(close, sets, least), "found")
+    found, made = [new], components(new)
+    # Every bucket member with its group so far; buckets of one group drop out for good.
+    now = written(members.join(made, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "now")
+    done(members, close)
     for turn in range(LEADER_ROUNDS + 1):
-        if turn:
-            roots = written(components(found).select("node", "root"), "roots")
-            now = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
-        else:
-            now = members.withColumn("label", F.col("node"))
-        # what is left: buckets that hold several groups
-        open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("of")).filter("a != b")
-        lead = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("x"))
-        open_ = written(open_.join(lead, "key").select("key", "of", F.col("x.node").alias("u"), F.col("x.n").alias("m"), F.col("x.label").alias("by")), "open")
+        lead = F.min_by(F.struct("node", "n", "fp", "label"), F.xxhash64("node", F.lit(turn))).alias("x")
+        open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("of"), lead).filter("a != b")
+        open_ = written(open_.select("key", "of", F.col("x.node").alias("u"), F.col("x.n").alias("m"), F.col("x.fp").alias("f"), F.col("x.label").alias("by")), "open")
         size = open_.agg(F.sum("of"), F.sum(F.col("of") * (F.col("of") - 1) / 2)).first()
         if not size[0]:
             break
-        left = written(now.join(open_.select("key", "u", "m", "by"), "key"), "left")
         last = turn == LEADER_ROUNDS or size[1] <= PAIRS_A_MEMBER * size[0]
+        left = written(now.join(open_.select("key"), "key"), "left")
+        one = (left if last else open_.withColumnRenamed("u", "node").withColumnRenamed("m", "n").withColumnRenamed("f", "fp").withColumnRenamed("by", "label")).alias("a")
+        may = (
+            (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
+            & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9)
+            & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS)
+        )
         if last:
-            other = left.select("key", F.col("node").alias("v"), F.col("n").alias("k"), F.col("label").alias("other"))
-            pairs = left.select("key", F.col("node").alias("u"), F.col("n").alias("m"), "label").join(other, "key").filter("u < v and label != other")
-            pairs = pairs.withColumnRenamed("k", "n")
-        else:
-            pairs = left.filter("label != by").select("u", "m", F.col("node").alias("v"), "n")
-        pairs = written(pairs.filter(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        found = written(found.unionByName(_verified(pairs, sets, least)), "found")
+            may = may & (F.col("a.node") < F.col("b.node"))
+        pairs = one.join(left.alias("b"), may).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
+        pairs = written(pairs.select(*(F.when(F.col("u") < F.col("v"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in ("uv", "vu", "xy", "yx"))).distinct(), "pairs")
+        new = written(_verified(pairs.select("u", "v"), sets, least), "found")
+        found.append(new)
         if last:
             break
-    return found
+        # the groups' links among themselves: a small graph
+        made = components(pairs.join(new, ["u", "v"]).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        after = left.join(made, F.col("label") == made["node"], "left").select("key", left["node"], "n", "fp", F.coalesce("root", "label").alias("label"))
+        done(now, open_, pairs)
+        now = written(after, "now")
+        done(left)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = written(out, "links")
+    done(now, sets, *found)
+    return out
 
 
 def drop_similar(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each group of near-duplicates with all its columns: the one with the smallest doc_id.
 
     Texts are near when their sets of ``words``-word shingles have a Jaccard
-    similarity of ``least`` or more; groups are connected components. Texts
+    similarity of ``least`` or more (not below 0.8, for which candidates are searched);
+    groups are connected components. Texts
     without words, null ones included, are one group. Rows have an identity of
     their own, so null and repeated doc_ids lose no row of another group; a
     null doc_id loses against any other. An empty table gives no rows.
     """
+    if least < SIMILARITY:
+        raise ValueError(f"the similarity must be {SIMILARITY} or more")
     small_batches(docs.sparkSession)
     rid = fresh(docs, "_rid")
     whole = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
@@ -167,5 +214,7 @@ def drop_similar(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id"
     rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("node"), F.col("rid"))
     best = of.groupBy("group").agg(F.min(rank).alias("x"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     best = written(best.select("group", F.col("x.rid").alias("stays")), "best")
-    gone = written(of.join(best, "group").filter("rid != stays").select(F.col("rid").alias("_gone")), "gone")
-    return whole.join(gone, F.col(rid) == F.col("_gone"), "left_anti").drop(rid)
+    lost = fresh(whole, "_gone")
+    gone = written(of.join(best, "group").filter("rid != stays").select(F.col("rid").alias(lost)), "gone")
+    done(sketches, roots, best)
+    return whole.join(gone, F.col(rid) == F.col(lost), "left_anti").drop(rid)

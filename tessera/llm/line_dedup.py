@@ -2,8 +2,9 @@
 
 Lines explode with their normalised key's 128-bit hash and their position; a
 hash found in enough distinct documents is frequent and stays only in the
-largest doc_id holding it. Each document learns the positions that it loses
-and is put together again from the stretches between them.
+largest doc_id holding it. Each document that loses lines learns their
+positions and is put together again from the stretches between them; the texts
+of all others, which a filter tells, are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, whole_text, written
+from .common import SPACES, done, lower_ascii, whole_text, written
+from .exact_dedup import filter_of, place_of, possibly_repeated
 
 
 def _keyed(lines: Column, min_chars: int) -> Column:
@@ -53,10 +55,16 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     )
     # Unique hashes on the right; a line of a third of all documents only lengthens the left, which AQE splits.
     lost = held.join(frequent, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
-    lost = written(lost.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), "at"), "lost")
-    lost = lost.groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("at")).alias("_lost"))
+    lost = lost.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"), "at")
+    lost = written(lost.groupBy("_doc", "_of").agg(F.array_sort(F.collect_set("at")).alias("_lost")), "lost")
+    done(found, often, held, frequent)
+    filter_, bits = filter_of(lost.select(place_of(F.struct(F.col("_doc"), F.col("_of"))).alias("p")))
+    may = possibly_repeated(F.struct(F.col("doc_id"), F.col("_row")), filter_, bits)
+    total = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = total.cast("long").alias("n_lines")
+    straight = rows.filter(~may).select("doc_id", n_lines, F.lit(0).cast("long").alias("n_dropped"), F.col("_text").alias("kept_text"))
     # The same plan at every size: what is lost grows with the input, so it is never broadcast.
-    joined = rows.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
+    joined = rows.filter(may).join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_of")), "left")
     joined = joined.withColumn("_lines", F.when(F.col("_lost").isNotNull(), F.split("_text", "\n", -1)))
     # Reassembly by position: what lies between the lost positions, stretch by stretch.
     n = F.size("_lost")
@@ -67,7 +75,6 @@ def mark_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
         return F.slice("_lines", after + 2, upto - after - 1)
 
     stays = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)), "\n")
-    total = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
     dropped = F.when(F.col("_lost").isNotNull(), n).otherwise(F.lit(0))
     kept = F.when(F.col("_lost").isNotNull(), stays).otherwise(F.col("_text"))
-    return joined.select("doc_id", total.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return straight.unionByName(joined.select("doc_id", n_lines, dropped.cast("long").alias("n_dropped"), kept.alias("kept_text")))

@@ -5,7 +5,9 @@ Packing needs only how many pieces there are of each length, at most
 first (a length, and a single, pair or triple of other lengths that fills its
 gap exactly, consumed as often as all are available), then best-fit decreasing
 for the rest, whole batches of equal bins at a time. Pieces then take the
-plan's places by their rank among the pieces of their length.
+plan's places by their rank among the pieces of their length: a task numbers
+its own as it cuts them, and a small table tells how many of each length the
+tasks before it have, so neither pieces nor ids need a shuffle.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, whole_text, written
 from .records import default_tokenizer
-from .sharding import numbered
 from .tokens import encoder
 
 Recipe = tuple[int, list[int]]
+#: Rows of the table of offsets (one for each task and length in it, some 50 bytes) up to which it is broadcast.
+BROADCAST_OFFSETS = 1_000_000
 
 
 class _Complements:
@@ -138,11 +142,15 @@ def places(recipes: list[Recipe]) -> dict[int, tuple[np.ndarray, np.ndarray, np.
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_PLACE = "part int, nth bigint"
 
 
 def _cutter(tokenizer_path: str, max_len: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        from pyspark import TaskContext
+
+        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        seen = [0] * (max_len + 1)  # pieces of each length so far
         end = end_id.to_bytes(enc.width, "little")
         kind = "<u2" if enc.width == 2 else "<u4"
         for batch in batches:
@@ -150,38 +158,40 @@ def _cutter(tokenizer_path: str, max_len: int, end_id: int, keep_ids: bool):
             for a in range(0, len(texts), 256):
                 rows: list[tuple] = []
                 for key, ids in zip(keys[a : a + 256], enc.encode(texts[a : a + 256]), strict=True):
-                    wide = np.frombuffer(ids + end, kind).astype("<u4")
-                    at, stop = 0, (len(wide) - 1) % max_len + 1
+                    own = np.frombuffer(ids + end, kind)
+                    at, stop = 0, (len(own) - 1) % max_len + 1
                     piece = 0
-                    while at < len(wide):
-                        data = wide[at:stop].tobytes()
-                        rows.append((key, piece, at, stop - at, zlib.crc32(data), data))
+                    while at < len(own):
+                        narrow, length = own[at:stop], stop - at
+                        rows.append((key, piece, at, length, zlib.crc32(narrow.astype("<u4").tobytes()), part, seen[length], narrow.tobytes() if keep_ids else b""))
+                        seen[length] += 1
                         at, stop, piece = stop, stop + max_len, piece + 1
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()][: 7 + keep_ids]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"][: 7 + keep_ids]
                 )
 
     return cut
 
 
-def _placer(table):
+def _placer(table, width: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length = table.value
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("slot").to_numpy()
+            rank = batch.column("rank").to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
                 first, seq, off = by_length[x]
                 run = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at], offset[at] = seq[run] + rank[at] - first[run], off[run]
-            kept = [n for n in batch.schema.names if n != "slot"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in kept] + [pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"]
-            )
+            names = [n for n in batch.schema.names if n != "rank"]
+            columns = [batch.column(n) for n in names]
+            if "ids" in names:
+                columns[names.index("ids")] = pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return place
 
@@ -201,12 +211,20 @@ def pack_documents(
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    schema = _PIECES + (", ids binary" if keep_ids else "")
-    pieces = written(rows.mapInArrow(_cutter(tokenizer_path or default_tokenizer(), max_len, end_id, keep_ids), schema), "pieces")
-    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    tokenizer_path = tokenizer_path or default_tokenizer()
+    ids = ", ids binary" if keep_ids else ""  # as wide as the tokenizer needs until the last step
+    pieces = written(rows.mapInArrow(_cutter(tokenizer_path, max_len, end_id, keep_ids), f"{_PIECES}, {_PLACE}{ids}"), "pieces")
+    each = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, max_len)))  # its size depends on max_len, not on the data
-    ranked = numbered(pieces, "length", ["doc_id", "piece", "ids_crc32"])
-    return ranked.mapInArrow(_placer(table), schema + ", sequence_id bigint, offset bigint")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = written(offsets, "offsets")
+    if offsets.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+    return ranked.select(*names, "rank").mapInArrow(_placer(table, encoder(tokenizer_path).width), f"{_PIECES}{ids}, sequence_id bigint, offset bigint")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -33,8 +33,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: Shares of shards 0 to 39 and of the next: those of machines of three sizes, by the shard's number alone.
+SHARES = [1.0 + 0.5 * (s % 3) for s in range(41)]
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(table(spark, sf_dir, "documents"), [1.0] * 40)
+    out = shard_documents(table(spark, sf_dir, "documents"), SHARES[:40], next_weight=SHARES[40])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

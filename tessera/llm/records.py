@@ -33,6 +33,10 @@ _HEAD = struct.Struct("<BBq")
 _MAGIC = b"TSIX0001"
 #: Bytes of frames that a reader takes at once.
 READ_BYTES = 8 << 20
+#: Bytes of input, as Spark estimates them, for each file beyond those of the session's shuffle partitions.
+FILE_BYTES = 256 << 20
+#: Records that a shuffled reader deals out at once.
+DEAL = 4096
 
 
 class CorruptRecord(ValueError):
@@ -176,6 +180,12 @@ def _writer(folder: str, tokenizer_path: str, end_id: int | None):
     return write
 
 
+def _estimated_bytes(docs: DataFrame) -> int:
+    """Spark's estimate of a table's size, 0 where it has none."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
 def write_records(
     docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: str = "doc_id", text: str = "text",
     end_id: int | None = 0, files: int | None = None,
@@ -191,7 +201,7 @@ def write_records(
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch_path(spark, "records")
-    n = files or shuffle_partitions(spark)
+    n = files or max(shuffle_partitions(spark), _estimated_bytes(docs) // FILE_BYTES)
     rows = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text"))
     rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
     done = rows.mapInArrow(_writer(folder, tokenizer_path, end_id), "file string, first_key bigint, records bigint, ids bigint").collect()
@@ -230,13 +240,23 @@ def read_digests(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
 
 def shuffled(manifest: list[dict], seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """All records in a random order, files interleaved, by their indexes; for a training loop on one machine."""
+    """All records in a random order, files interleaved, by their indexes; for a training loop on one machine.
+
+    Some records at a time are dealt out over the files by how many each has left, so memory grows with the files alone.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(np.repeat(np.arange(len(manifest)), [m["records"] for m in manifest]))
-    readers = [read_file(m["file"], rng.permutation(m["records"])) for m in manifest]
-    for i in order.tolist():
-        key, _, ids = next(readers[i])
-        yield key, ids
+    left = np.array([m["records"] for m in manifest], np.int64)
+    readers = [_in_random_order(m, rng) for m in manifest]
+    while total := int(left.sum()):
+        drawn = np.minimum(rng.multinomial(min(DEAL, total), left / total), left)
+        left -= drawn
+        for i in rng.permutation(np.repeat(np.arange(len(left)), drawn)).tolist():
+            key, _, ids = next(readers[i])
+            yield key, ids
+
+
+def _in_random_order(file: dict, rng: np.random.Generator) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    yield from read_file(file["file"], rng.permutation(file["records"]))
 
 
 def default_tokenizer() -> str:

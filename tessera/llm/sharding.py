@@ -19,29 +19,27 @@ from pyspark.sql.window import Window
 from .common import shuffle_partitions, whole_text
 
 
-def shard_of(key: Column, weights: Sequence[float], salt: int = 0) -> Column:
-    """Index of the shard with the highest weighted rendezvous score for ``key``.
-
-    ``weights[s]`` is shard s's share; equal weights need only the raw hash.
-    Ties go to the larger shard index, a null key hashes as its own key.
-    """
+def _scores(key: Column, weights: Sequence[float], salt: int) -> list[Column]:
     if not weights or any(w <= 0 or not math.isfinite(w) for w in weights):
         raise ValueError("weights must be finite, positive and not empty")
     # The key is hashed once; each shard's score mixes that hash with the shard's number.
     k = F.xxhash64(F.coalesce(key.cast("string"), F.lit("\x00null")), F.lit(salt))
 
     def pair(s: int) -> Column:
-        h = F.xxhash64(k, F.lit(s))
-        if len(set(weights)) > 1:
-            u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-            score = -F.lit(float(weights[s])) / F.ln(u)
-        else:
-            score = h
-        return F.struct(score.alias("score"), F.lit(s).alias("shard"))
+        u = (F.shiftrightunsigned(F.xxhash64(k, F.lit(s)), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((F.lit(-float(weights[s])) / F.ln(u)).alias("score"), F.lit(s).alias("shard"))
 
-    if len(weights) == 1:
-        return F.lit(0)
-    return F.greatest(*(pair(s) for s in range(len(weights))))["shard"]
+    return [pair(s) for s in range(len(weights))]
+
+
+def shard_of(key: Column, weights: Sequence[float], salt: int = 0) -> Column:
+    """Index of the shard with the highest weighted rendezvous score for ``key``.
+
+    ``weights[s]`` is shard s's share; equal or not, one law holds. Ties go to
+    the larger shard index, a null key hashes as its own key.
+    """
+    scores = _scores(key, weights, salt)
+    return F.greatest(*scores)["shard"] if len(scores) > 1 else F.lit(0)
 
 
 def numbered(df: DataFrame, group: str, order: Sequence[str], rows_per_bucket: int = 2_000_000) -> DataFrame:
@@ -67,23 +65,24 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], rows_per_bucket: i
     )
 
 
-def shard_documents(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text", salt: int = 0) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text", salt: int = 0, next_weight: float | None = None
+) -> DataFrame:
     """Every row of ``docs`` with ``size``, ``text_crc32``, ``shard``, ``grown_shard`` and ``slot``.
 
     ``size`` is the UTF-8 length of the text plus 16 (null text: 16).
-    ``grown_shard`` is the shard after one more shard of mean weight joins.
+    ``grown_shard`` is the shard after one more shard joins, of ``next_weight`` or else the mean weight.
     Rows with equal keys, copies included, share a shard; null keys count as
     one key; an empty table gives no rows. Only key, size and checksum are
     shuffled. Columns of the input with the names of the new ones are replaced.
     """
-    mean = sum(weights) / len(weights)
+    scores = _scores(F.col("doc_id"), [*weights, sum(weights) / len(weights) if next_weight is None else next_weight], salt)
     body = whole_text(text).cast("binary")
     flat = docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(body) + F.lit(16)).cast("long").alias("size"),
         F.crc32(body).cast("long").alias("text_crc32"),
     )
-    placed = flat.withColumns(
-        {"shard": shard_of(F.col("doc_id"), weights, salt), "grown_shard": shard_of(F.col("doc_id"), [*weights, mean], salt)}
-    )
+    best = flat.withColumn("best", F.greatest(*scores[:-1]) if len(weights) > 1 else scores[0])
+    placed = best.withColumns({"shard": F.col("best")["shard"], "grown_shard": F.greatest("best", scores[-1])["shard"]}).drop("best")
     return numbered(placed, "shard", ["doc_id", "text_crc32", "size"])

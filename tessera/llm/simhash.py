@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, whole_text, written
+from .common import fresh, shuffle_partitions, small_batches, whole_text, written
 from .components import components
 
 BITS = 64
@@ -123,8 +123,12 @@ def _agreement(n: int, both: np.ndarray) -> np.ndarray:
     return agree
 
 
-def group_bits(agree: np.ndarray, m: int) -> list[list[int]]:
-    """``m`` parts of nearly equal size; each grows by the bit that is correlated most with what it has."""
+def group_bits(agree: np.ndarray, m: int, by_information: bool = False) -> list[list[int]]:
+    """``m`` parts; each grows by the bit that is correlated most with what it has.
+
+    Parts are of nearly equal size or, ``by_information``, of nearly equal
+    information: one of correlated or lopsided bits then gets more of them.
+    """
     single = np.diag(agree)
     lift = np.abs(agree - np.outer(single, single))
     np.fill_diagonal(lift, 0)
@@ -134,7 +138,14 @@ def group_bits(agree: np.ndarray, m: int) -> list[list[int]]:
         seed = max(left, key=lambda b: (lift[b, list(left)].max(), -b))
         part = [seed]
         left.remove(seed)
-        while len(part) < size:
+        share = _information(agree, [seed, *sorted(left)]) / (m - k)
+
+        def full(part: list[int], size: int = size, share: float = share, k: int = k) -> bool:
+            if not by_information:
+                return len(part) >= size
+            return k < m - 1 and (len(left) < m - k or _information(agree, part) >= share)
+
+        while left and not full(part):
             best = max(left, key=lambda b: (lift[b, part].sum(), -b))
             part.append(best)
             left.remove(best)
@@ -142,6 +153,11 @@ def group_bits(agree: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
+def _information(agree: np.ndarray, part: list[int]) -> float:
+    """Bits of information in a part: how rarely two fingerprints agree in all of it."""
+    return -math.log2(max(_within(part, agree, 0)[0], 1e-30))
+
+
 def _within(part: list[int], agree: np.ndarray, most: int) -> list[float]:
     """Estimated probabilities that two fingerprints differ in at most 0..most bits of the part.
 
@@ -161,10 +177,10 @@ def _within(part: list[int], agree: np.ndarray, most: int) -> list[float]:
 
 def plan(n: int, both: np.ndarray, threshold: int = 3) -> list[Part]:
     """The partition and thresholds of least estimated cost for a self-join of ``n`` fingerprints."""
-    agree = _agreement(n, both)
+    agree, n = _agreement(n, both), max(n, 1)
     best, chosen = math.inf, []
-    for m in range(1, threshold + 2):
-        parts = group_bits(agree, m)
+    for m, by_information in itertools.product(range(1, threshold + 2), (False, True)):
+        parts = group_bits(agree, m, by_information)
         costs = []
         for part in parts:
             near = _within(part, agree, threshold)
@@ -301,12 +317,21 @@ def mark_near(docs: DataFrame, threshold: int = 3, key: str = "doc_id", text: st
 
 
 def drop_near(docs: DataFrame, threshold: int = 3, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns.
+    """One row of each component with all its columns: the one with the smallest doc_id, a null one last.
 
-    Rows are told apart by doc_id; rows with a null doc_id stay.
+    Rows have an identity of their own: of repeated rows one stays, and null
+    or repeated doc_ids lose no row of another component. Texts without words,
+    null ones included, are one component. An empty table gives no rows.
     """
-    gone = written(mark_near(docs, threshold, key, text, words).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    rid, lost = fresh(docs, "_rid"), fresh(docs, "_gone")
+    whole = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    marks = mark_near(whole, threshold, rid, text, words)  # the component's name is its first row's number
+    of = whole.select(F.col(rid).alias("rid"), F.col(f"`{key}`").alias("key")).join(marks.select(F.col("doc_id").alias("rid"), "component_id"), "rid")
+    of = written(of, "of")
+    best = of.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "rid")).alias("x"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    best = written(best.select("component_id", F.col("x.rid").alias("stays")), "best")
+    gone = written(of.join(best, "component_id").filter("rid != stays").select(F.col("rid").alias(lost)), "gone")
+    return whole.join(gone, F.col(rid) == F.col(lost), "left_anti").drop(rid)
 
 
 def hex_digits(fp: str = "fp"):

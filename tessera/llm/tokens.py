@@ -131,7 +131,7 @@ class Encoder:
         """Ids of every text."""
         if not self.cuts:
             return self._library(texts)
-        if self._at_added and any(map(self._at_added.search, texts)):
+        if any(name in t for name in self.added for t in texts):
             return self._between_added(texts)
         return self._encode_parts(texts)
 

@@ -20,15 +20,26 @@ ROWS = [
     (13, "word " * 3000 + "tail", "de", "c"),
     (14, "mail bob@example.com, ring +1 (555) 010-9999 or 10.0.0.256 / 10.0.0.255; card 4111 1111 1111 1111.", "en", "a"),
     (None, "Alpha beta gamma delta", "en", "a"),
+    (15, "a special name <|endoftext|> in a text<|endoftext|>", "en", "a"),
+    (15, "the same id with another text: 3.4.5.6 " + "a" * 70_000, None, None),
 ]
+#: Names that operators might use themselves.
+CLASHES = ["slot", "_again", "_gone", "_spans", "_of", "_sha", "_rid", "_text", "_body", "part", "rank", "root", "label", "length", "key"]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
 
 @pytest.fixture(scope="session")
 def edge(spark):
     """The rows above with extra columns whose names clash with the operators' own."""
-    rows = [(*r, len(r[1] or ""), "x", 7) for r in ROWS]
-    return spark.createDataFrame(rows, SCHEMA + ", n_chars bigint, slot string, _again int")
+    rows = [(*r, len(r[1] or ""), *range(len(CLASHES))) for r in ROWS]
+    return spark.createDataFrame(rows, SCHEMA + ", n_chars bigint, " + ", ".join(f"{c} int" for c in CLASHES))
+
+
+@pytest.fixture(scope="session")
+def huge(spark):
+    """Texts of a megabyte: one word, numbers, line ends, spaces, one line again and again, letters without spaces that are no ASCII."""
+    texts = ["x" * 1_000_000, "12345 " * 170_000, "\n" * 1_000_000, " " * 1_000_000, "one line of text that is long enough to count again\n" * 20_000, "日本語テキスト" * 50_000]
+    return spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], SCHEMA).repartition(4)
 
 
 @pytest.fixture(scope="session")

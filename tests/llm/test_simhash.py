@@ -53,8 +53,9 @@ def test_near(request, name):
     assert all(re.fullmatch("[0-9a-f]{16}", r.h) for r in got)
     kept = simhash.drop_near(df)
     assert kept.columns == df.columns
-    comps = {c for *_, c in [(r.doc_id, r.component_id) for r in got] if c is not None}
-    assert {r.doc_id for r in kept.collect()} - {None} == comps
+    assert kept.columns == df.columns
+    of = groups([f for _, f in rows])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(min(((d is None, d) for d, f in rows if of[f] == g), default=None)[1] for g in set(of.values()))
 
 
 def planted(n, seed=3):
@@ -116,6 +117,37 @@ def test_thresholds_hold_the_principle():
         assert any({0, 1} <= set(p.bits) for p in parts)
 
 
+def test_parts_and_thresholds_are_unequal_where_bits_are(spark):
+    """Copies of one bit say nothing: their part is wider, or its threshold larger."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (4000, 64))
+    x[:, 1:24] = x[:, :1]
+    x[:, 40:] = rng.random((4000, 24)) < 0.04
+    parts = simhash.plan(10**6, (x.T @ x) / 4000 * 10**6, 3)
+    assert len({(len(p.bits), p.threshold) for p in parts}) > 1
+    assert sorted(b for p in parts for b in p.bits) == list(range(64)) and sum(p.threshold for p in parts) == 3 - len(parts) + 1
+    agree = simhash._agreement(4000, x.T @ x)
+    for m in (2, 3, 4):
+        wide = simhash.group_bits(agree, m, True)
+        info = [simhash._information(agree, p) for p in wide]
+        assert sorted(b for p in wide for b in p) == list(range(64)) and len({len(p) for p in wide}) > 1
+        assert max(info) - min(info) < max(simhash._information(agree, p) for p in simhash.group_bits(agree, m)) * 1.5
+    fps = {int(sum(int(b) << i for i, b in enumerate(r))) for r in x[:300]} | set(planted(50))
+    got = {r.node % (1 << 64): r.root for r in components(simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp bigint"))).collect()}
+    of = groups(list(fps))
+    sizes = Counter(of.values())
+    assert set(got) == {f for f in of if sizes[of[f]] > 1} and len({(of[f], r) for f, r in got.items()}) == len(set(got.values()))
+
+
+def test_rows_have_their_own_identity(spark):
+    a, b = " ".join(f"w{i}" for i in range(90)), "quite another text under the same id, and a good deal longer than a few words"
+    rows = [(1, a, 5), (2, a, 6), (2, b, 7), (None, b, 8), (None, "a text of its own", 9), (None, a, 10), (1, a, 11)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int")
+    kept = simhash.drop_near(df)
+    assert kept.columns == df.columns
+    assert sorted((r.text, r.doc_id or 0) for r in kept.collect()) == sorted([(a, 1), (b, 2), ("a text of its own", 0)])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=4), st.data())
 def test_bucket_links_span(bases, data):

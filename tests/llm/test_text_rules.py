@@ -1,16 +1,19 @@
 """Sharding, exact dedup, line dedup and quality rules against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import drop_exact, mark_exact
 from tessera.llm.line_dedup import mark_lines
 from tessera.llm.quality import judge, measures
+from tessera.llm.queries import SHARES
 from tessera.llm.sharding import shard_documents
 
 WS = " \t\n\x0b\x0c\r"
@@ -29,14 +32,27 @@ def rows_of(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
-def test_shards(table):
+def plain_shard(key, weights, salt=0):
+    """The plain maximum of weighted scores; Spark hashes a number as its little-endian bytes, seeded by the hash before it."""
+    k = xxhash.xxh64_intdigest((str(key) if key is not None else "\0null").encode(), 42)
+    k = xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), k)
+    scores = []
+    for s, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42))
+        scores.append((-w / math.log(((h >> 11) + 0.5) / (1 << 53)), s))
+    return max(scores)[1]
+
+
+@pytest.mark.parametrize(("weights", "more"), [(SHARES[:40], SHARES[40]), ([1.0] * 40, None), ([0.1] * 3, None), ([2.5], 0.5)])
+def test_shards(table, weights, more):
     want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows_of(table))
-    got = shard_documents(table, [1.0] * 40).collect()
+    got = shard_documents(table, weights, next_weight=more).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
     slots = defaultdict(list)
+    grown = [*weights, sum(weights) / len(weights) if more is None else more]
     for r in got:
-        assert 0 <= r.shard < 40
-        assert r.grown_shard in (r.shard, 40)
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, weights), plain_shard(r.doc_id, grown))
+        assert r.grown_shard in (r.shard, len(weights))
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
