@@ -182,7 +182,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int | None):
 
 def _estimated_bytes(docs: DataFrame) -> int:
     """Spark's estimate of a table's size, 0 where it has none."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 
