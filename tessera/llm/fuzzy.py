@@ -9,33 +9,19 @@ all are forgotten and found anew, which bounds memory and changes no result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
-
-#: Some kilobytes each.
-MAX_STATES = 8192
-
-
-class _Node:
-    __slots__ = ("children", "term", "stem", "budget", "below")
-
-    def __init__(self):
-        self.children: dict[str, _Node] = {}
-        self.term: str | None = None
-        self.stem: str | None = None
-        self.budget = 0
-        self.below = 0
+#: About a kilobyte each.
+MAX_STATES = 1 << 16
 
 
 class _State:
     __slots__ = ("pairs", "next", "found", "stem")
 
-    def __init__(self, pairs: frozenset):
-        self.pairs = pairs
+    def __init__(self, pairs: bytes, found: tuple[int, str] | None, stem: str | None):
+        self.pairs, self.found, self.stem = pairs, found, stem
         self.next: dict[str, _State | None] = {}
-        hits = [(e, n.term) for n, e in pairs if n.term is not None and e <= n.budget]
-        self.found = min(hits) if hits else None
-        self.stem = min((n.stem for n, e in pairs if n.stem is not None and e == 0), default=None)
 
 
 def budget(term: str) -> int:
@@ -44,50 +30,59 @@ def budget(term: str) -> int:
 
 
 class Lexicon:
+    """The trie is lists by node number; a state's (node, errors) pairs are sorted numbers, four to a node."""
+
     def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()):
-        root = _Node()
+        self._children: list[dict[str, int]] = [{}]
+        self._below, self._term, self._stem = [0], [None], [None]
         self.alphabet: set[str] = set()
         for text, is_stem in [*((t, False) for t in terms), *((s, True) for s in stems)]:
-            node, k = root, 0 if is_stem else budget(text)
+            node, k = 0, 0 if is_stem else budget(text)
             self.alphabet.update(text)
-            root.below = max(root.below, k)
+            self._below[0] = max(self._below[0], k)
             for c in text:
-                node = node.children.setdefault(c, _Node())
-                node.below = max(node.below, k)
-            if is_stem:
-                node.stem = text
-            else:
-                node.term, node.budget = text, k
-        self._root = root
+                if c not in self._children[node]:
+                    self._children[node][c] = len(self._children)
+                    self._children.append({})
+                    for column, empty in ((self._below, 0), (self._term, None), (self._stem, None)):
+                        column.append(empty)
+                node = self._children[node][c]
+                self._below[node] = max(self._below[node], k)
+            (self._stem if is_stem else self._term)[node] = text
         self._forget()
 
     def _forget(self) -> None:
-        self._states: dict[frozenset, _State] = {}
-        self._start = self._state({(self._root, 0)})
+        self._states: dict[bytes, _State] = {}
+        self._start = self._state({0})
 
-    def _state(self, pairs: set) -> _State:
+    def _state(self, pairs: set[int]) -> _State:
         todo = list(pairs)
         while todo:  # letters of a term that the word leaves out
-            node, e = todo.pop()
-            for child in node.children.values():
-                if e < child.below and (child, e + 1) not in pairs:
-                    pairs.add((child, e + 1))
-                    todo.append((child, e + 1))
-        key = frozenset(pairs)
+            pair = todo.pop()
+            e = pair & 3
+            for child in self._children[pair >> 2].values():
+                if e < self._below[child] and (more := child << 2 | e + 1) not in pairs:
+                    pairs.add(more)
+                    todo.append(more)
+        key = array("i", sorted(pairs)).tobytes()
         if key not in self._states:
-            self._states[key] = _State(key)
+            ends = [(p & 3, self._term[p >> 2]) for p in pairs if self._term[p >> 2] is not None]
+            stems = [self._stem[p >> 2] for p in pairs if not p & 3 and self._stem[p >> 2] is not None]
+            self._states[key] = _State(key, min((x for x in ends if x[0] <= budget(x[1])), default=None), min(stems, default=None))
         return self._states[key]
 
     def _step(self, state: _State, c: str) -> _State | None:
         pairs = set()
-        for node, e in state.pairs:
-            if c in node.children:
-                pairs.add((node.children[c], e))
-            if e < node.below:
-                pairs.add((node, e + 1))  # a letter too many
-                for child in node.children.values():  # another letter
-                    if e < child.below:
-                        pairs.add((child, e + 1))
+        for pair in array("i", state.pairs):
+            node, e = pair >> 2, pair & 3
+            children = self._children[node]
+            if c in children:
+                pairs.add(children[c] << 2 | e)
+            if e < self._below[node]:
+                pairs.add(pair + 1)  # a letter too many
+                for child in children.values():  # another letter
+                    if e < self._below[child]:
+                        pairs.add(child << 2 | e + 1)
         return self._state(pairs) if pairs else None
 
     def match(self, word: str) -> tuple[str, int] | None:

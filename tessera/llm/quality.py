@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, whole_text, written
+from .common import SPACES, done, whole_text, written
 
 SYMBOLS = "#*$%&|<>"
 #: Relative accuracy of the sketches' quantiles.
@@ -164,9 +164,11 @@ def judge(docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang"
     flat = docs.select("doc_id", F.col(text).alias("_text"), *(F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(k) for g, k in zip(groups, keys, strict=True)))
     columns = ["doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     measured = written(measures(flat, "_text").select(*columns), "measures")
-    cuts = cutoffs(written(sketches(measured, keys), "sketches"), keys)
+    sketch = written(sketches(measured, keys), "sketches")
+    cuts = cutoffs(sketch, keys)
     # A row a group. Written, so that its size is known: Spark broadcasts it where it is small, and the measures stay where they are.
     cuts = written(cuts.select(*(F.col(k).alias(f"{k}_") for k in keys), *(f"_cut_{r}" for r in RULES)), "cutoffs")
+    done(sketch)
     on = None
     for k in keys:
         on = (F.col(k) == F.col(f"{k}_")) if on is None else on & (F.col(k) == F.col(f"{k}_"))

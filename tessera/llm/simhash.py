@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shuffle_partitions, small_batches, whole_text, written
+from .common import done, fresh, shuffle_partitions, small_batches, whole_text, written
 from .components import components
 
 BITS = 64
@@ -309,10 +309,12 @@ def mark_near(docs: DataFrame, threshold: int = 3, key: str = "doc_id", text: st
     roots = written(components(links(nodes, threshold)), "roots")
     linked = roots.join(nodes, F.col("node") == F.col("fp"))
     group = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of = roots.join(written(group, "groups"), "root").select("node", "component")
+    group = written(group, "groups")
+    of = roots.join(group, "root").select("node", "component")
     named = written(
         nodes.join(of, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id")), "named"
     )
+    done(nodes, roots, group)
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text, written
+from .common import done, small_batches, whole_text, written
 from .fuzzy import Lexicon
 
 #: Labelled rows that the model is fitted on, about; with more, a hash of doc_id chooses.
@@ -39,6 +39,8 @@ _QUOTED = re.compile(r'"[^"\n]+"|“[^“”\n]+”|«[^«»\n]+»|„[^„“
 PRIOR = np.array([-3.0, 1.5, 0.2, 1.0, 0.5])
 
 
+#: Words whose worth a process remembers.
+MEMO_WORDS = 200_000
 _BUILT: dict[bytes, Lexicon] = {}
 
 
@@ -60,7 +62,23 @@ class Model:
     weights: np.ndarray = field(default_factory=PRIOR.copy)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "lexicon"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("lexicon", "memo")}
+
+    def worths(self, words: set[str]) -> dict[str, float]:
+        """The words that match, with their worth."""
+        memo = self.__dict__.setdefault("memo", {})
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        out = {}
+        for w in words:
+            x = memo.get(w)
+            if x is None:
+                x = self.hit(w)
+                if len(w) <= 48:
+                    memo[w] = x
+            if x:
+                out[w] = x
+        return out
 
     def hit(self, word: str) -> float:
         """The worth of a word: 0 without a match, less for a misspelling; words of clean rows are no misspellings."""
@@ -76,7 +94,7 @@ class Model:
 
     def measures(self, text: str) -> list[float]:
         low = text.lower()
-        worth = {w: x for w in set(_WORD.findall(low)) if (x := self.hit(w))}
+        worth = self.worths(set(_WORD.findall(low)))
         if not worth:
             return [1.0, 0.0, 0.0, 0.0, 0.0]
         quotes = [m.span() for m in _QUOTED.finditer(low)]
@@ -214,8 +232,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     clean_words = counts.filter(~F.startswith("feature", F.lit("\x00")) & (F.col("clean") > 0)).select("feature")
     model.harmless = frozenset(r.word for r in clean_words.mapInArrow(near, "word string").collect())
+    model.__dict__.pop("memo", None)
     fitted = rows.mapInArrow(measure, ", ".join(f"x{i} double" for i in range(len(PRIOR))) + ", y int").toPandas().to_numpy(float)
     model.weights = _fit(fitted[:, :-1], fitted[:, -1])
+    done(rows, counts)
     return model
 
 

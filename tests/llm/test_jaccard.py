@@ -91,5 +91,16 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 600 * jaccard.BANDS
 
 
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share half of their words are no near copies, and hardly ever candidates."""
+    rng = random.Random(3)
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"{i}x{rng.randrange(10**6)}" for _ in range(55))])) for i in range(700)]
+    made, verify = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: made.append(pairs.count()) or verify(pairs, *a))
+    assert jaccard.drop_similar(spark.createDataFrame(rows, SCHEMA)).count() == 700
+    assert sum(made) < 700
+
+
 def test_empty(empty):
     assert jaccard.drop_similar(empty).count() == 0
