@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tessera.plans import analytics, clusters, files, histograms, rasters, vectors  # noqa: F401
+    from tessera.plans import analytics, clusters, files, generated, histograms, rasters, vectors  # noqa: F401
 
 
 load()
