@@ -10,8 +10,11 @@ pairs; so MinHash bands complete the candidates: with ``BANDS`` bands of
 already need no further test, and neither do pairs whose fingerprints, or whose
 sketches of one bit a MinHash value, are too far apart for a similarity of 0.8.
 Every candidate is verified on its shingle sets before it is a link; connected
-components of the links are the groups. Only the texts of candidates are read
-again, and only their sets are shuffled.
+components of the links are the groups. First every member of a bucket is held
+against one leader, which joins large groups in a few rounds; then what is left
+of a bucket, e.g. texts with a passage in common, is compared in its task,
+block by block, and emits the links that span its groups, never all pairs. Only
+the texts of candidates are read again, and only their sets are shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import done, fresh, small_batches, whole_text, written
+from .common import done, fresh, shuffle_partitions, small_batches, whole_text, written
 from .components import components
 from .exact_dedup import filter_of, place_of, possibly_repeated, repeat_filter
 
@@ -35,8 +38,8 @@ SKETCH = BANDS * ROWS // 64
 MOST_SKETCH_BITS = 64
 #: Of a pair at 0.8 about 9.7 bits of 64 differ, with a deviation of 2.9: more than this with probability 1e-7.
 MOST_BITS = 25
-#: All pairs of a bucket are tested where they number at most so many for each member; else leaders first, so many rounds at most.
-PAIRS_A_MEMBER, LEADER_ROUNDS = 8, 6
+#: Rounds of leaders; then members of a bucket are compared with each other, dealt out by pairs of blocks of so many.
+LEADER_ROUNDS, BLOCK_ROWS = 2, 512
 _CHUNK = 2048
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _WORDS = [f"w{i}" for i in range(SKETCH)]
@@ -110,14 +113,25 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "rid bigint, doc_id bigint, node bigint, n bigint, fp bigint, " + "".join(f"{w} bigint, " for w in _WORDS) + "bands array<bigint>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """The written pairs u, v whose sets are similar. Texts of other nodes are not shuffled: a filter tells them."""
+def _sets(used: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """node, set of the nodes in ``used``. Texts of other nodes are not shuffled: a filter tells them."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
+    wanted = written(nodes.join(used, "node").select(F.col("rid").alias("_of"), "node"), "wanted")
+    filter_, bits = filter_of(wanted.select(place_of(F.col("_of")).alias("p")))
+    some = rows.filter(possibly_repeated(F.col("rid"), filter_, bits))
+    out = written(some.join(wanted, F.col("rid") == F.col("_of")).select("node", "text").mapInArrow(as_sets, "node bigint, set binary"), "sets")
+    done(wanted)
+    return out
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """The written pairs u, v whose sets are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
@@ -125,17 +139,69 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, l
             yield batch.select([0, 1]).filter(ok)
 
     used = pairs.select("u").unionAll(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-    wanted = written(nodes.join(used, "node").select(F.col("rid").alias("_of"), "node"), "wanted")
-    filter_, bits = filter_of(wanted.select(place_of(F.col("_of")).alias("p")))
-    some = rows.filter(possibly_repeated(F.col("rid"), filter_, bits))
-    sets = written(some.join(wanted, F.col("rid") == F.col("_of")).select("node", "text").mapInArrow(as_sets, "node bigint, set binary"), "sets")
+    sets = _sets(used, nodes, rows, words)
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
     other = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     out = written(pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint"), "found")
-    done(wanted, sets)
+    done(sets)
     return out
 
 
+def _spanning(label: np.ndarray, n: np.ndarray, fp: np.ndarray, sketch: np.ndarray, sets: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Verified links between members of a bucket that join all groups that can be joined; members are tested only across groups."""
+    _, label = np.unique(label, return_inverse=True)
+    out = []
+    for i in range(len(label) - 1):
+        rest = slice(i + 1, None)
+        near = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= least * np.maximum(n[rest], n[i]) - 1e-9)
+        near &= np.bitwise_count(fp[rest] ^ fp[i]) <= MOST_BITS
+        near &= np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=int) <= MOST_SKETCH_BITS
+        own = np.frombuffer(sets[i], np.uint64)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if label[j] != label[i] and similar(own, np.frombuffer(sets[j], np.uint64), least):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _inside(left: DataFrame, sizes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """u, v: verified links across the groups of each bucket; a large bucket is dealt out by pairs of blocks."""
+    columns = ["node", "n", "fp", *_WORDS, "label"]
+
+    def links_of(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(cell)
+        node, n, fp, *words, label = (table.column(c).to_numpy() for c in columns)
+        sketch = np.stack(words, 1).view(np.uint64)
+        found = _spanning(label, n, fp.view(np.uint64), sketch, table.column("set").to_pylist(), least)
+        u, v = ([node[p[k]] for p in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, in any batches."""
+        cell, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(i).to_numpy() for i in range(2)], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if cell and tuple(at[a]) != last:
+                    yield links_of(cell)
+                    cell = []
+                last = tuple(at[a])
+                cell.append(batch.slice(a, b - a))
+        if cell:
+            yield links_of(cell)
+
+    blocks = F.ceil(F.col("of") / BLOCK_ROWS).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    across = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: (F.least(block, y) * F.col("blocks") + F.greatest(block, y)).cast("long"))
+    dealt = left.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", F.explode(across).alias("cell"), *columns)
+    dealt = dealt.join(sets, "node").select("key", "cell", *columns, "set")
+    dealt = dealt.repartition(shuffle_partitions(left.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
 def _close(nodes: DataFrame) -> DataFrame:
     """u, v: nodes whose fingerprints are linked at 3 or fewer bits, by links that span their groups."""
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
@@ -170,12 +236,14 @@ def links(sketches: DataFrame, rows: DataFrame, words: int = WORDS, least: float
         lead = F.min_by(F.struct("node", "n", "fp", *_WORDS, "label"), F.xxhash64("node", F.lit(turn))).alias("x")
         open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("of"), lead).filter("a != b")
         open_ = written(open_.select("key", "of", "x.*"), "open")
-        size = open_.agg(F.sum("of"), F.sum(F.col("of") * (F.col("of") - 1) / 2)).first()
-        if not size[0]:
+        if not open_.count():
             break
-        last = turn == LEADER_ROUNDS or size[1] <= PAIRS_A_MEMBER * size[0]
         left = written(now.join(open_.select("key"), "key"), "left")
-        one = (left if last else open_).alias("a")
+        if turn == LEADER_ROUNDS:
+            sets = _sets(left.select("node").distinct(), nodes, rows, words)
+            found.append(written(_inside(left, open_, sets, least).distinct(), "found"))
+            done(sets, left)
+            break
         apart = F.lit(0)
         for w in _WORDS:
             apart = apart + F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")))
@@ -184,14 +252,10 @@ def links(sketches: DataFrame, rows: DataFrame, words: int = WORDS, least: float
             & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9)
             & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS) & (apart <= MOST_SKETCH_BITS)
         )
-        if last:
-            may = may & (F.col("a.node") < F.col("b.node"))
-        pairs = one.join(left.alias("b"), may).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
+        pairs = open_.alias("a").join(left.alias("b"), may).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
         pairs = written(pairs.select(*(F.when(F.col("u") < F.col("v"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in ("uv", "vu", "xy", "yx"))).distinct(), "pairs")
         new = _verified(pairs.select("u", "v"), nodes, rows, words, least)
         found.append(new)
-        if last:
-            break
         # the groups' links among themselves: a small graph
         made = components(pairs.join(new, ["u", "v"]).select(F.col("x").alias("u"), F.col("y").alias("v")))
         after = left.join(made, F.col("label") == made["node"], "left").select("key", left["node"], "n", "fp", *_WORDS, F.coalesce("root", "label").alias("label"))

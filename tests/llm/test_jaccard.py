@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +55,11 @@ def got(out):
     return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
 
 
-@pytest.mark.parametrize("members", [8, 0])
-def test_planted_near_copies(spark, monkeypatch, members):
-    """``members`` 0: leaders first."""
-    monkeypatch.setattr(jaccard, "PAIRS_A_MEMBER", members)
+@pytest.mark.parametrize(("rounds", "block"), [(2, 512), (0, 3)])
+def test_planted_near_copies(spark, monkeypatch, rounds, block):
+    """With leaders, and without: buckets in blocks."""
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     rows = planted()
     out = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), DATA)
     assert got(out) == kept(rows) and len(kept(rows)) < len(rows)
@@ -91,6 +93,26 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 600 * jaccard.BANDS
 
 
+def test_spanning_links():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 1 << 62, 200, dtype=np.uint64)) for _ in range(4)]
+    sets = []
+    for i in range(60):
+        s = base[i % 4].copy()
+        s[rng.integers(0, len(s), 9)] = rng.integers(0, 1 << 62, 9, dtype=np.uint64)
+        sets.append(np.unique(s))
+    fp = np.array([jaccard.fingerprint(s) for s in sets], np.uint64)
+    sketch = np.stack([jaccard.bands(s)[1] for s in sets])
+    label = np.arange(60)
+    label[4::8] = label[4]
+    links = jaccard._spanning(label, np.array([len(s) for s in sets]), fp, sketch, [s.tobytes() for s in sets], 0.8)
+    assert all(jaccard.similar(sets[i], sets[j]) for i, j in links)
+    of = {i: i for i in range(60)}
+    for i, j in [*links, *((4, k) for k in range(4, 60, 8))]:
+        of = {k: of[i] if x == of[j] else x for k, x in of.items()}
+    assert len(set(of.values())) == 4 and len(links) < 60
+
+
 def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
     """Texts that share half of their words are no near copies, and hardly ever candidates."""
     rng = random.Random(3)
