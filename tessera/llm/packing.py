@@ -26,8 +26,8 @@ from .records import default_tokenizer
 from .tokens import encoder
 
 Recipe = tuple[int, list[int]]
-#: Rows of the table of offsets (one for each task and length in it, some 50 bytes) up to which it is broadcast.
-BROADCAST_OFFSETS = 1_000_000
+#: Rows of the table of offsets (one for each task and length in it, some 160 bytes) up to which it is broadcast.
+BROADCAST_OFFSETS = 200_000
 
 
 class _Complements:
