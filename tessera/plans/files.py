@@ -113,8 +113,8 @@ def whole_texts(spark, d):
 
 
 @query(
-    """SELECT vec_id, greatest(least(vec_id % 300, 255), 32)::INTEGER AS code, CASE WHEN vec_id % 128 < 32 THEN (vec_id % 128)::VARCHAR ELSE chr((vec_id % 128)::INTEGER) END AS shown,
-              CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 7 END AS rest FROM embeddings WHERE (CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 7 END) IS NULL OR vec_id % 2 = 0"""
+    """SELECT vec_id, greatest(least(vec_id % 300, 255), 32)::INTEGER AS code, CASE WHEN vec_id % 128 < 32 THEN (vec_id % 128)::VARCHAR ELSE chr((vec_id % 128)::INTEGER) END AS shown
+       FROM embeddings WHERE (CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 7 END) IS NULL OR vec_id % 2 = 0"""
 )
 def codes(spark, d):
     """Codes as characters, clamped numbers, and a filter for nulls."""
@@ -122,4 +122,4 @@ def codes(spark, d):
     rows = table(spark, d, "embeddings").select(
         "vec_id", clamp(F.col("vec_id") % 300, 32, 255).cast("int").alias("code"), shown_byte((F.col("vec_id") % 128).cast("int")).alias("shown"), rest.alias("rest")
     )
-    return rows.filter(F.col("rest").isNull() | (F.col("vec_id") % 2 == 0))
+    return rows.filter(F.col("rest").isNull() | (F.col("vec_id") % 2 == 0)).drop("rest")
