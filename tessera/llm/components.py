@@ -35,6 +35,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no larger one, or larger ones only: the roots are found."""
+    up, down = F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.explode(F.array(up, down)).alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down"))
+    return ends.filter("up > 1 or up = 1 and down = 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (bigints u, v): the smallest node that it reaches.
 
@@ -42,12 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     are not in the result. Rounds are logarithmic in practice and never cut off.
     """
     edges = written(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == state:
-            break
-        state = now
+    while not _stars(edges):
         edges = _small(_large(edges))
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionAll(pairs.select(F.col("root").alias("node"), "root").distinct())

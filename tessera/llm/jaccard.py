@@ -39,7 +39,7 @@ MOST_SKETCH_BITS = 64
 #: Of a pair at 0.8 about 9.7 bits of 64 differ, with a deviation of 2.9: more than this with probability 1e-7.
 MOST_BITS = 25
 #: Rounds of leaders; then members of a bucket are compared with each other, dealt out by pairs of blocks of so many.
-LEADER_ROUNDS, BLOCK_ROWS = 2, 512
+LEADER_ROUNDS, BLOCK_ROWS = 1, 512
 _CHUNK = 2048
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _WORDS = [f"w{i}" for i in range(SKETCH)]

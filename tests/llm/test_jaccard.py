@@ -55,7 +55,7 @@ def got(out):
     return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(2, 512), (0, 3)])
+@pytest.mark.parametrize(("rounds", "block"), [(1, 512), (3, 3)])
 def test_planted_near_copies(spark, monkeypatch, rounds, block):
     """With leaders, and without: buckets in blocks."""
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
