@@ -238,13 +238,14 @@ def k_medoids_by_matrix(matrix: DataFrame, k: int, max_iter: int = 1000) -> Clus
     medoids = [r.i for r in matrix.select("i").distinct().orderBy("i").limit(k).collect()]
     if len(medoids) < k or k < 1:
         raise ValueError(f"k must be 1 to {len(medoids)}")
-    cost = None
+    cost, n = None, matrix.select("i").distinct().count()
     for rounds in range(1, max_iter + 1):
         slot = F.array_position(F.array(*(F.lit(m).cast("long") for m in medoids)), F.col("j")) - 1
         pairs = F.array_sort(F.collect_list(F.struct("d", slot.cast("int").alias("slot"))))  # k for each point
         near = matrix.filter(F.col("j").isin(medoids)).groupBy("i").agg(pairs.alias("r"))
         second = F.coalesce(F.get("r", F.lit(1))["d"], F.lit(float("inf")))
         near = near.select("i", F.get("r", F.lit(0))["d"].alias("d1"), F.get("r", F.lit(0))["slot"].alias("j1"), second.alias("d2"))
+        near = F.broadcast(near) if n <= BROADCAST_BYTES // 128 else near  # a row a point
         rows = matrix.filter(~F.col("j").isin(medoids)).join(near, "i")
         base, more = F.sum(F.least("d", "d1")), F.least("d", "d2") - F.least("d", "d1")
         gains = [F.sum(F.when(F.col("j1") == s, more).otherwise(0.0)).alias(f"s{s}") for s in range(k)]
