@@ -193,6 +193,51 @@ def test_swap_costs_by_plain_loops(spark, monkeypatch, d):
         assert by_matrix.medoids == by_points.medoids
 
 
+@pytest.mark.parametrize("metric", ["l2", "sqeuclidean"])
+@pytest.mark.parametrize(("d", "k", "kind"), [(1, 1, "<f8"), (2, 3, "<f8"), (2, 3, "<f4"), (3, 1, "<f8"), (24, 3, "<f8")])
+def test_bounds_of_swaps(d, k, kind, metric):
+    """Bounds are below the costs, the cheapest swap is the one of all, and near points are not all priced."""
+    rng = np.random.default_rng(d)
+    for offset, copies in ((0.0, 1), (1000.0, 1), (0.0, 40)):
+        pts = np.repeat(rng.normal(size=(2000 // copies, d)) + offset, copies, 0).astype(kind)
+        pts = pts[cluster._neighbours(pts)]
+        ids = rng.permutation(len(pts))
+        swaps = cluster._Swaps(pts, pts[:k], metric)
+        now = lambda c, s: np.concatenate([pts[:k][:s], c[None], pts[:k][s + 1 :]])
+        costs = swaps.exact(pts)
+        for i in (500, 1999):
+            for s in range(k):
+                assert costs[i, s] == pytest.approx(cluster._between(pts, now(pts[i], s), metric).min(1).sum(dtype=float), rel=1e-6)
+        slack = swaps.slack(float(costs.max()))
+        assert (swaps.screen(pts) <= costs + slack).all()
+        for size in (*cluster.LEAVES, 1):
+            cells = [np.arange(a, min(a + size, len(pts))) for a in range(0, len(pts), size)]
+            for x, low in zip(cells, swaps.bounds([pts[x] for x in cells]), strict=True):
+                assert (low <= costs[x] + slack).all()
+        leaves = [np.arange(a, min(a + 128, len(pts))) for a in range(0, len(pts), 128)]
+        want = min((c, s, i) for (p, s), c in np.ndenumerate(costs) for i in [int(ids[p])])
+        priced, exact = [], swaps.exact
+        swaps.exact = lambda x: priced.append(len(x)) or exact(x)
+        for limit in (np.inf, float(costs[::256].min()), want[0]):
+            assert swaps.cheapest(ids, pts, leaves, limit) == pytest.approx(want)
+        assert swaps.cheapest(ids, pts, leaves, want[0] * 0.9) is None
+        if d < 4 and copies == 1 and offset == 0 and kind == "<f8":
+            assert sum(priced[8:]) < 300  # of 2000, twice
+
+
+@pytest.mark.parametrize(("d", "metric"), [(1, "l2"), (2, "sqeuclidean"), (16, "l2")])
+def test_pam_of_many_points(spark, d, metric):
+    """Several leaves a task, some of copies; the same medoids as when all swaps are priced."""
+    points = np.random.default_rng(d).normal(size=(1500, d))
+    points[700:1000] = points[700]
+    coords = [f"c{j}" for j in range(d)]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], "id bigint, " + ", ".join(f"{c} double" for c in coords))
+    found = cluster.k_medoids(df, coords, 2, metric=metric)
+    medoids, cost, rounds = plain_pam(points, 2, metric)
+    assert found.cost == pytest.approx(cost) and found.rounds == rounds
+    assert [points[m].tolist() for m in found.medoids] == [points[m].tolist() for m in medoids]
+
+
 def test_many_medoids(spark):
     df = spark.range(700).selectExpr("id", "cast(id as double) as x")
     found = cluster.k_medoids(df, ["x"], 600, max_iter=1000, tol=1e-9, initial_cost="computed")
