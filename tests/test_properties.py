@@ -215,11 +215,12 @@ def test_bounds_of_swaps(d, k, kind, metric):
             for x, low in zip(cells, swaps.bounds([pts[x] for x in cells]), strict=True):
                 assert (low <= costs[x] + slack).all()
         leaves = [np.arange(a, min(a + 128, len(pts))) for a in range(0, len(pts), 128)]
-        want = min((c, s, i) for (p, s), c in np.ndenumerate(costs) for i in [int(ids[p])])
+        # on a line, two points in the middle may cost the same: sums of one order decide
+        want = min((swaps.price(pts[p], int(s)), int(s), int(ids[p])) for p, s in np.argwhere(costs <= costs.min() * (1 + 1e-12)))
         priced, exact = [], swaps.exact
         swaps.exact = lambda x: priced.append(len(x)) or exact(x)
         for limit in (np.inf, float(costs[::256].min()), want[0]):
-            assert swaps.cheapest(ids, pts, leaves, limit) == pytest.approx(want)
+            assert swaps.cheapest(ids, pts, leaves, limit) == want
         assert swaps.cheapest(ids, pts, leaves, want[0] * 0.9) is None
         if d < 4 and copies == 1 and offset == 0 and kind == "<f8":
             assert sum(priced[8:]) < 300  # of 2000, twice
