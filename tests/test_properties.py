@@ -239,6 +239,17 @@ def test_pam_of_many_points(spark, d, metric):
     assert [points[m].tolist() for m in found.medoids] == [points[m].tolist() for m in medoids]
 
 
+def test_pam_with_known_costs_of_many_points(spark, monkeypatch):
+    """From the first points' cost, without copies of medoids, and not by pricing all swaps."""
+    points = np.random.default_rng(5).normal(size=(3000, 2))
+    points[100:400] = points[1]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], "id bigint, x double, y double")
+    monkeypatch.setattr(cluster, "_swap_costs", None)  # which prices all of them
+    found = cluster.k_medoids(df, ["x", "y"], 3, initial_cost="computed", same_within=2.2e-16)
+    medoids, cost, rounds = plain_pam(points, 3, "l2", computed=True)
+    assert found.medoids == medoids and found.rounds == rounds and found.cost == pytest.approx(cost)
+
+
 def test_many_medoids(spark):
     df = spark.range(700).selectExpr("id", "cast(id as double) as x")
     found = cluster.k_medoids(df, ["x"], 600, max_iter=1000, tol=1e-9, initial_cost="computed")
