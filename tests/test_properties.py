@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import analytics, cluster, histogram, raster, vector
+from tessera.plans import clusters, registry
 from tessera.sources import generators
 from tessera.streaming.histograms import windowed_byte_histogram
 
@@ -250,6 +252,16 @@ def test_pam_with_known_costs_of_many_points(spark, monkeypatch):
     assert found.medoids == medoids and found.rounds == rounds and found.cost == pytest.approx(cost)
 
 
+def test_large_matrix_is_not_stored(spark, monkeypatch):
+    """Up to a number of rows the matrix is stored, and deleted; beyond it nothing is, with the same result."""
+    wrote, path = [], clusters.scratch_path
+    monkeypatch.setattr(clusters, "scratch_path", lambda s, tag: wrote.append(path(s, tag)) or wrote[-1])
+    small = registry.QUERIES["pam_matrix"](spark, "/root/testdata/sf0.001").collect()
+    assert len(wrote) == 1 and not os.path.exists(wrote[0].removeprefix("file://"))
+    monkeypatch.setattr(clusters, "STORED_ROWS", 100)
+    assert registry.QUERIES["pam_matrix"](spark, "/root/testdata/sf0.001").collect() == small and len(wrote) == 1
+
+
 def test_many_medoids(spark):
     df = spark.range(700).selectExpr("id", "cast(id as double) as x")
     found = cluster.k_medoids(df, ["x"], 600, max_iter=1000, tol=1e-9, initial_cost="computed")
