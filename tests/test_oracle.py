@@ -45,3 +45,18 @@ def test_pass_counts_of_large_keys(spark, tmp_path):
     got = registry.QUERIES["pass_counts"](spark, str(tmp_path)).select("p_partkey", "p_retailprice", "below", "passes").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(con.sql(registry.ORACLE_SQL["pass_counts"]).fetchall(), key=repr)
     assert {r.passes for r in got} == {0, 1, 2, 3, 4, 5}
+
+
+#: Products with 10^6 or 10^5 that are ties, though the numbers are not, or the reverse.
+TIES = {"distance_matrix": (0.0, 2.0140985, 4.0796575, 1.3647974999999999)}
+
+
+@pytest.mark.parametrize("name", sorted(TIES))
+def test_distances_at_ties(spark, tmp_path, name):
+    """Distances are rounded as the SQL rounds them, to the last bit; NaN, infinite, huge and missing ones, too."""
+    rows = [*TIES[name], 1e200, float("inf"), float("nan"), None]
+    spark.createDataFrame([(i, [x] + [0.0] * 63) for i, x in enumerate(rows)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path)).select("i", "j", "d").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(registry.ORACLE_SQL[name]).fetchall()))

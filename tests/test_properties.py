@@ -304,3 +304,11 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = windowed_byte_histogram(df, "ts", "t", mapping="letter")
     assert sorted(map(tuple, spark.table("hist").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rounded(spark):
+    """A half of the product goes up, all else to the nearest; what cannot be scaled stays."""
+    for x, digits, want in ((0.0, 6, 0.0), (0.5, 0, 1.0), (1.5, 0, 2.0), (2.5, 0, 3.0), (0.49999999999999994, 0, 0.0), (2.0140985, 6, 2.014098), (1.3647974999999999, 6, 1.364798), (1.7e308, 6, 1.7e308), (float("inf"), 6, float("inf"))):
+        assert one(spark, scalar.rounded(F.lit(x), digits)) == want
+    assert one(spark, F.isnan(scalar.rounded(F.lit(float("nan")), 6)))
+    assert one(spark, scalar.rounded(F.lit(None).cast("double"), 6)) is None
