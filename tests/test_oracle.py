@@ -48,13 +48,13 @@ def test_pass_counts_of_large_keys(spark, tmp_path):
 
 
 #: Products with 10^6 or 10^5 that are ties, though the numbers are not, or the reverse.
-TIES = {"distance_matrix": (0.0, 2.0140985, 4.0796575, 1.3647974999999999)}
+TIES = {"distance_matrix": (0.0, 2.0140985, 4.0796575, 1.3647974999999999), "distance_matrix_64": (0.0, 2.384965, 4.411795, 1.9818449999999999)}
 
 
 @pytest.mark.parametrize("name", sorted(TIES))
 def test_distances_at_ties(spark, tmp_path, name):
-    """Distances are rounded as the SQL rounds them, to the last bit; NaN, infinite, huge and missing ones, too."""
-    rows = [*TIES[name], 1e200, float("inf"), float("nan"), None]
+    """Distances are rounded as the SQL rounds them, to the last bit; NaN, infinite and huge ones, too, and missing ones where the SQL takes them."""
+    rows = [*TIES[name], 1e200, float("inf"), float("nan"), *[None] * (name == "distance_matrix")]
     spark.createDataFrame([(i, [x] + [0.0] * 63) for i, x in enumerate(rows)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
