@@ -312,3 +312,14 @@ def test_rounded(spark):
         assert one(spark, scalar.rounded(F.lit(x), digits)) == want
     assert one(spark, F.isnan(scalar.rounded(F.lit(float("nan")), 6)))
     assert one(spark, scalar.rounded(F.lit(None).cast("double"), 6)) is None
+
+
+def test_files_of_a_wide_matrix(spark, tmp_path):
+    """A second side of more points than a Parquet page has rows: its ids take little beside the distances' 8 bytes."""
+    points = spark.range(0, 30_000, 1, 1).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    points.write.parquet(f"{tmp_path}/points")
+    matrix = cluster.distance_matrix(spark.read.parquet(f"{tmp_path}/points"), ["x", "y"]).filter("i < 20")
+    matrix.write.parquet(f"{tmp_path}/matrix")
+    got = spark.read.parquet(f"{tmp_path}/matrix")
+    assert got.count() == got.select("i", "j").distinct().count() == 20 * 30_000
+    assert sum(p.stat().st_size for p in (tmp_path / "matrix").glob("*.parquet")) < 10 * 20 * 30_000
