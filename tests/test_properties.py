@@ -323,3 +323,41 @@ def test_files_of_a_wide_matrix(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/matrix")
     assert got.count() == got.select("i", "j").distinct().count() == 20 * 30_000
     assert sum(p.stat().st_size for p in (tmp_path / "matrix").glob("*.parquet")) < 10 * 20 * 30_000
+
+
+@pytest.mark.parametrize("dims", [2, 64])
+@pytest.mark.parametrize("cells", [2048, 2])
+def test_whole_distance_matrix(spark, monkeypatch, dims, cells):
+    """The rows of distance_matrix to the last bit, also of missing, infinite, repeated and unnamed points, and of leaves that are not full."""
+    monkeypatch.setattr(cluster, "MOST_CELLS", cells)
+    monkeypatch.setattr(cluster, "TASK_ROWS", 9000)
+    coords = [f"x{k}" for k in range(dims)]
+    x = np.random.default_rng(3).normal(size=(214, dims)).astype("<f4").astype(float).tolist()
+    x[7][1], x[8][0], x[9][1], x[200] = float("inf"), float("nan"), None, x[100]
+    rows = [(None if i == 11 else 50 if i == 12 else i, *p) for i, p in enumerate(x)]
+    points = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in coords))
+    for metric in ("l2", "sqeuclidean"):
+        got, want = (f(points, coords, metric=metric) for f in (cluster.whole_distance_matrix, cluster.distance_matrix))
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_whole_distance_matrix_beyond_a_broadcast(spark, monkeypatch):
+    points = spark.range(100).select(F.col("id").cast("string").alias("id"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    monkeypatch.setattr(cluster, "TASK_ROWS", 1000)
+    few = sorted(map(tuple, cluster.whole_distance_matrix(points, ["x", "y"]).collect()))
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", 100)
+    assert len(few) == 100 * 100 and few == sorted(map(tuple, cluster.whole_distance_matrix(points, ["x", "y"]).collect()))
+    assert cluster.whole_distance_matrix(points.filter("false"), ["x", "y"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["distance_matrix"])
+def test_files_of_the_distance_queries(spark, tmp_path, name):
+    """All pairs take under 2 bytes a row of 24 where rounded distances fit a dictionary."""
+    n = 2500
+    x = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.xxhash64("vec_id", k) % 1000 / 4e4).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id")).select("vec_id", x.alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    registry.QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/matrix")
+    got = spark.read.parquet(f"{tmp_path}/matrix")
+    assert got.count() == got.select("i", "j").distinct().count() == n * n
+    assert sum(p.stat().st_size for p in (tmp_path / "matrix").glob("*.parquet")) < 2 * n * n
