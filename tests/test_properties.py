@@ -351,7 +351,7 @@ def test_whole_distance_matrix_beyond_a_broadcast(spark, monkeypatch):
     assert cluster.whole_distance_matrix(points.filter("false"), ["x", "y"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["distance_matrix"])
+@pytest.mark.parametrize("name", ["distance_matrix", "distance_matrix_64"])
 def test_files_of_the_distance_queries(spark, tmp_path, name):
     """All pairs take under 2 bytes a row of 24 where rounded distances fit a dictionary."""
     n = 2500
